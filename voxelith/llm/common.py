@@ -62,3 +62,17 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def replaced(df: DataFrame, *names: str) -> DataFrame:
+    """The frame without columns of these names: an operator's own columns replace those that clash."""
+    taken = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+
+
+def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """The frame itself, after limiting the session's Arrow batches, so that Python holds few texts at once."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return df

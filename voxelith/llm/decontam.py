@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import bounded_batches, fresh, replaced
 from .textkit import ALNUM, Words, ngrams, winnow
 from .textkit import batches as runs_of
 
@@ -142,6 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     Items are named by their id as text and listed once, sorted; a null id is left out
     of the list though its words are hit.  Every input row gives one row; all columns are kept.
     """
+    docs = replaced(docs, into)
     if not 1 <= k <= span:
         raise ValueError("k must lie between 1 and span")
     kind = "struct<n_words:long,runs:array<struct<start:long,end:long>>,items:array<string>>"
@@ -168,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         return run
 
-    out, first = docs, True
+    out, first = bounded_batches(docs), True
     for index in _blocks(benchmark, item_id, item_text, span, k, block_words):
         out = out.mapInArrow(scan(index, first), schema)
         first = False

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, replaced
 from .sampling import sample
 
 DIMS = 4096
@@ -58,7 +59,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.n
                 df[DIMS] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(df)], names=["gram", "n"])
 
-    got = cols.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    got = bounded_batches(cols).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIMS + 1, np.int64)
     for r in got:
         out[r["gram"]] = r["n"]
@@ -125,8 +126,9 @@ def predict(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``.
 
     Every row comes back; empty texts and texts without a letter are ``und`` with score 0.
-    The model's size depends on its parameters and the number of languages only.
+    Input columns of these names are replaced.  The model's size depends on its parameters and the number of languages only.
     """
+    docs = replaced(docs, "lang_pred", "score", "rejected")
     keep = [c for c in docs.columns if c != text]
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -137,4 +139,4 @@ def predict(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame:
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(text).cast("string"), *keep).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(text).cast("string"), *keep).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import bounded_batches, discard, fresh, materialise, replaced
 from .textkit import NON_SPACE, Words, mix
 from .textkit import batches as runs_of
 
@@ -138,8 +138,11 @@ def without(raw: bytes, gone: dict[int, int]) -> tuple[bytes, int]:
     return b"".join(raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)), len(drop)
 
 
-def shared_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, shared array<struct<owner, theirs, mine, key>>)`` for each document that shares line pairs with an earlier one."""
+def shared_lines(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """``(doc_id, shared array<struct<owner, theirs, mine, key>>)`` for each document that shares line pairs with an earlier one.
+
+    Also the path of the table of line pairs that it reads.
+    """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(text).cast("string"), F.col(doc_id).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,22 +153,23 @@ def shared_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 keys, places = cut.pairs()
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[at + cut.text]), pa.array(places)], names=["key", "doc", "place"])
 
-    found, _ = materialise(rows.mapInArrow(run, "key long, doc long, place long"), "lines")
+    found, path = materialise(bounded_batches(rows).mapInArrow(run, "key long, doc long, place long"), "lines")
     first = found.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("theirs"))
     first = first.where("owner < last").drop("last")
     later = found.join(first, "key").where("doc <> owner")
-    return later.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("owner", "theirs", F.col("place").alias("mine"), "key")).alias("shared"))
+    return later.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("owner", "theirs", F.col("place").alias("mine"), "key")).alias("shared")), path
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 20, counts: bool = False) -> DataFrame:
     """``docs`` with each text's common blocks deleted, if an earlier document has them.
 
     Every row and column stays; a text that is one large block becomes empty.
-    ``counts`` adds ``n_lines`` and ``n_deleted``.  Null texts stay null; rows
+    ``counts`` adds ``n_lines`` and ``n_deleted`` (replacing columns of these names).  Null texts stay null; rows
     with a null id stay as they are and delete nothing elsewhere; rows that repeat
     an id are one document and don't delete each other's lines.  Ids are whole numbers.
     """
-    shared = shared_lines(docs, doc_id, text)
+    docs = replaced(docs, "n_lines", "n_deleted") if counts else docs
+    shared, pairs = shared_lines(docs, doc_id, text)
     kind = "doc_id long, gone array<struct<place:long,key:long>>"
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +184,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                 out.append([{"place": p, "key": of.get(p, of.get(p - 1))} for p in deletions(owner[s:e], theirs[s:e], mine[s:e], min_words)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, target)], names=["doc_id", "gone"])
 
-    gone = shared.mapInArrow(plan, kind).where(F.size("gone") > 0)
+    gone, _ = materialise(shared.mapInArrow(plan, kind).where(F.size("gone") > 0), "deletions")
+    discard(docs.sparkSession, pairs)
     mark, place = fresh(docs, "gone"), docs.columns.index(text)
     key = fresh(docs, "gone_id")
     joined = docs.join(gone.select(F.col("doc_id").alias(key), F.col("gone").alias(mark)), F.col(doc_id).cast("long") == F.col(key), "left").drop(key)

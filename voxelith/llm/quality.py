@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, replaced
 from .sampling import sample
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
@@ -165,7 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable, doc_id: str = "doc_id", text
 
 
 def score(docs: DataFrame, model, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` without the text, with a score from 0 to 1 of each whole text (null counts as empty)."""
+    """``docs`` without the text, with a score from 0 to 1 of each whole text (null counts as empty).
+
+    Every row comes back; an input column named like the score is replaced.
+    """
+    docs = replaced(docs, into)
     keep = [c for c in docs.columns if c != text]
     schema = docs.select(*keep).withColumn(into, F.lit(0.0)).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -177,4 +182,4 @@ def score(docs: DataFrame, model, text: str = "text", into: str = "score") -> Da
             got = many(raws) if many else [sent.value.score(r) for r in raws]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.float64())], names=[*keep, into])
 
-    return docs.select(F.col(text).cast("string"), *keep).mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col(text).cast("string"), *keep).mapInArrow(run, schema)

@@ -21,9 +21,10 @@ def _draw(doc_id: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame | None, label: str, usable, per_label: dict | int, doc_id: str = "doc_id", text: str = "text", most_chars: int = 20_000) -> list[tuple[str, object]]:
     """``(text, label)`` of the sample, in the order of the draw.
 
-    ``labels(doc_id, label)`` is joined, or ``docs`` has the label itself if it is
+    Other columns don't matter.  ``labels(doc_id, label)`` is joined, or ``docs`` has the label itself if it is
     None; ``usable(doc_id column)`` says which rows may teach.
     """
+    docs = docs.select(doc_id, text, label) if labels is None else docs.select(doc_id, text)
     known = (docs if labels is None else labels).where(F.col(label).isNotNull() & usable(F.col(doc_id)))
     known = known.select(F.col(doc_id).alias("sample_id"), F.col(label).alias("sample_label"))
     counts = {r[0]: r[1] for r in known.groupBy("sample_label").count().collect()}

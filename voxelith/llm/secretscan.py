@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, replaced
+
 
 @dataclass(frozen=True)
 class ScanRule:
@@ -96,7 +98,7 @@ def scan(versions: DataFrame, ledger_path: str, rules: Sequence[ScanRule] = BASE
     ``versions`` is any table with a text column: one row for each path and
     historical version.  Returns its other columns and ``findings``, sorted by
     start, then rule, of the current rule versions.  Null and empty texts have
-    none; repeated rows come back repeated.  A run that dies leaves the ledger as
+    none; repeated rows come back repeated; a column named ``findings`` is replaced.  A run that dies leaves the ledger as
     it was or complete for its blobs; blobs scanned twice by two runs at once
     count once.
     """
@@ -114,9 +116,10 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[ScanRule] =
     current = ledger.select("blob", "scanned", F.explode("findings").alias("f"))
     mine = F.array_contains("scanned", F.concat(F.col("f.kind"), F.lit("@"), F.create_map(*(F.lit(x) for r in rules for x in (r.kind, str(r.version))))[F.col("f.kind")]))
     current = current.where(mine).groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings"))
-    keep = [c for c in versions.columns if c != text]
-    marked = versions.select(*keep, blob_of(F.col(text)).alias("_blob"))
-    joined = marked.join(current.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    keep = [c for c in replaced(versions, "findings").columns if c != text]
+    key = fresh(versions, "blob")
+    marked = versions.select(*keep, blob_of(F.col(text)).alias(key))
+    joined = marked.join(current.withColumnRenamed("blob", key), key, "left")
     return joined.select(*keep, F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import bounded_batches, fresh, materialise
 from .components import connected_components
 
 BLOCKS, PER_BLOCK, WIDE = 4, 12, 8
@@ -84,7 +84,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 5, seed
             fps = pa.array([_signed(simhash(x.as_py(), shingle, seed)) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], fps], names=[*keep, into])
 
-    return docs.select(text, *keep).mapInArrow(run, schema)
+    return bounded_batches(docs).select(text, *keep).mapInArrow(run, schema)
 
 
 def _distance(fp: Column, pivot: int) -> Column:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialise
+from .common import ascii_lower, discard, materialise, replaced
 
 #: Rules become one expression in the plan.
 MOST_RULES = 1000
@@ -112,8 +112,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str =
 
     A rule's verdict holds for its pages; others get their host's.  Pages without
     a host (null or no ``://``) have no host score and are allowed.  Every row
-    comes back, repeated rows too; null html has no links.
+    comes back, repeated rows too; null html has no links.  Input columns named like
+    these results are replaced.  An empty table gives no rows.
     """
+    pages = replaced(pages, "host", "path", "rule", "rule_verdict", "verdict", "trust", "distrust")
     marked = with_rule(pages, rules, url)
     share = lambda v: (F.count_if(F.col("rule_verdict") == v) / F.count("*")).alias({"allow": "trust0", "block": "distrust0"}[v])
     seeds = marked.where("host <> ''").groupBy("host").agg(share("allow"), share("block"))
