@@ -47,8 +47,11 @@ class Block:
     """Candidates of one width, sorted along each dimension."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+        order = np.lexsort((*x.T[::-1], ids))
+        ids, x = ids[order], x[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)  # repeated rows count once
+        self.ids, self.x = ids[new], x[new]
         self.most = int(np.abs(self.x).max(initial=0))
         self.exact = self.x.astype(np.float64)  # products stay whole below 2**53
         self.lists = np.argsort(self.x, axis=0, kind="stable").astype(np.int32)
@@ -63,7 +66,7 @@ class Block:
         n = len(self.ids)
         dims = np.flatnonzero(q)
         if not len(dims):  # every score is zero: smallest ids win
-            return sorted(set(best) | {(0, int(i)) for i in self.ids[: k + 1].tolist() if i != own})[:k]
+            return sorted(set(best) | {(0, i) for i in np.unique(self.ids[self.ids != own])[:k].tolist()})[:k]
         up = q[dims] > 0
         seen = np.zeros(n, bool)
         depth, step = 0, first
@@ -74,14 +77,15 @@ class Block:
             rows = self.lists[at, dims]
             new = np.unique(rows[~seen[rows]])
             seen[new] = True
+            new = new[self.ids[new] != own]
             if len(new):
                 s = self.scores(new, q)
-                if len(new) > k + 1:  # of equal scores the smaller ids, which come first
-                    low = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                    above, tied = s > low, np.flatnonzero(s == low)[: k + 1]
+                if len(new) > k:  # of equal scores the smaller ids, which come first
+                    low = np.partition(s, len(s) - k)[len(s) - k]
+                    above, tied = s > low, np.flatnonzero(s == low)[:k]
                     pick = np.concatenate([np.flatnonzero(above), tied])
                     new, s = new[pick], s[pick]
-                best = sorted([*best, *((-v, i) for v, i in zip(s.tolist(), self.ids[new].tolist(), strict=True) if i != own)])[:k]
+                best = sorted({*best, *((-v, i) for v, i in zip(s.tolist(), self.ids[new].tolist(), strict=True))})[:k]
             front = self.x[rows[-1], dims]
             bound = sum(int(a) * int(b) for a, b in zip(front.tolist(), q[dims].tolist(), strict=True))
             if len(best) == k and bound < -best[-1][0]:
