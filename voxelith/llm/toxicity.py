@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .quality import adam, logistic, score, sigmoid
 from .sampling import sample
 from .textkit import ALNUM, Words, batches
@@ -43,7 +44,10 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     many = np.maximum(1, w.ends - w.starts + 3 - n)
     first = np.cumsum(many) - many
     at = np.arange(int(many.sum())) + np.repeat(w.starts - first, many)  # one byte before each word, as b is shifted by one
-    return ((code[at] * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64), first
+    found = ((code[at] * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    short = w.ends - w.starts + 2 < n  # no gram fits: the word itself stands for it
+    found[first[short]] = (w.hashes[short] >> np.uint64(32)).astype(np.int64) & (BUCKETS - 1)
+    return found, first
 
 
 def buckets(w: Words) -> tuple[np.ndarray, tuple, tuple]:
@@ -254,5 +258,6 @@ def fit(docs: DataFrame, labels: DataFrame, usable, doc_id: str = "doc_id", text
 
 def drop_toxic(docs: DataFrame, model: BiGRU, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """Rows whose whole text scores below the threshold, with all their columns."""
-    marked = score(docs.withColumn("_text", F.col(text)), model, "_text", "_score")
-    return marked.where(F.col("_score") < threshold).select(docs.columns)
+    copy, mark = fresh(docs, "text_copy"), fresh(docs, "toxicity")
+    marked = score(docs.withColumn(copy, F.col(text)), model, copy, mark)
+    return marked.where(F.col(mark) < threshold).select(docs.columns)
