@@ -11,7 +11,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from voxelith.llm import decontam, linededup, packing, simhash, textkit
-from voxelith.llm.components import connected_components
+from voxelith.operators.graph import connected_components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ", simhash string, component_id string, n_lines string, contamination string, kept_id string, gone string, score string, findings string"

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import bounded_batches, fresh, materialise
-from .components import connected_components
 
 BLOCKS, PER_BLOCK, WIDE = 4, 12, 8
 #: Hashes of one document that are counted at a time.
