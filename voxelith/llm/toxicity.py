@@ -2,8 +2,8 @@
 
 A text's words are read in overlapping windows that cover all of it.  A word's
 inputs come from the word itself and from its characters: log odds of the label
-for the hashed word, and the mean and largest log odds of its hashed 4- and
-5-character grams, all counted on the training sample.  A gated recurrent network reads each
+for the hashed word, and the mean and largest log odds of its hashed 4-, 6- and
+8-byte grams, all counted on the training sample.  A gated recurrent network reads each
 window in both directions, attention pools its states, and a logit comes out.
 A text's score combines its largest and mean window logits by a learned
 logistic step.
@@ -30,7 +30,9 @@ from .textkit import ALNUM, Words, batches
 WINDOW, HOP, UNITS, BUCKETS = 24, 16, 10, 1 << 16
 #: Windows that go through the network at a time.
 ROWS = 4096
-INPUTS = 6
+#: Bytes of the character grams.
+GRAMS = (4, 6, 8)
+INPUTS = 2 + 2 * len(GRAMS)
 
 __all__ = ["BiGRU", "fit", "score", "train"]
 
@@ -50,13 +52,13 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return found, first
 
 
-def buckets(w: Words) -> tuple[np.ndarray, tuple, tuple]:
-    return (w.hashes >> np.uint64(48)).astype(np.int64), grams(w, 4), grams(w, 5)
+def buckets(w: Words) -> tuple:
+    return (w.hashes >> np.uint64(48)).astype(np.int64), *(grams(w, n) for n in GRAMS)
 
 
 def log_odds(raws: list[bytes], y: np.ndarray, smooth: float = 2.0) -> np.ndarray:
     """Log odds of the label for words and grams, by the number of texts that have them."""
-    counts = np.zeros((2, 3, BUCKETS))
+    counts = np.zeros((2, 1 + len(GRAMS), BUCKETS))
     for at, part in batches(raws):
         w = Words(part, ALNUM, fold=True)
         word, *pieces = buckets(w)
@@ -69,7 +71,7 @@ def log_odds(raws: list[bytes], y: np.ndarray, smooth: float = 2.0) -> np.ndarra
     n = np.bincount(y, minlength=2)
     share = smooth / max(1, n.sum())
     rate = [(counts[k] + smooth * n[k] / max(1, n.sum())) / (n[k] + n[k] * share) for k in (0, 1)]
-    return np.clip(np.log(rate[1] / rate[0]), -4, 4).astype(np.float32) if n.min() else np.zeros((3, BUCKETS), np.float32)
+    return np.clip(np.log(rate[1] / rate[0]), -4, 4).astype(np.float32) if n.min() else np.zeros((1 + len(GRAMS), BUCKETS), np.float32)
 
 
 def inputs(w: Words, odds: np.ndarray) -> np.ndarray:
@@ -82,7 +84,7 @@ def inputs(w: Words, odds: np.ndarray) -> np.ndarray:
             v = odds[i][g]
             x[:-1, 2 * i - 1] = np.maximum.reduceat(v, first)
             x[:-1, 2 * i] = np.add.reduceat(v, first) / np.diff(np.append(first, len(g)))
-        x[:-1, 5] = np.minimum(w.ends - w.starts, 20) / 10
+        x[:-1, -1] = np.minimum(w.ends - w.starts, 20) / 10
     return x
 
 
@@ -121,7 +123,7 @@ def _blank(rng) -> dict[str, np.ndarray]:
 
 @dataclass
 class BiGRU:
-    odds: np.ndarray = field(default_factory=lambda: np.zeros((3, BUCKETS), np.float32))
+    odds: np.ndarray = field(default_factory=lambda: np.zeros((1 + len(GRAMS), BUCKETS), np.float32))
     weights: dict[str, np.ndarray] = field(default_factory=lambda: _blank(np.random.default_rng(9)))
     combine: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
