@@ -111,13 +111,6 @@ def distance_mm(a, b, spacing) -> Column:
     return F.sqrt(sum(((p - q) * s) * ((p - q) * s) for p, q, s in zip(a, b, spacing, strict=True)))
 
 
-def nice_step(span: Column) -> Column:
-    """The smallest of 1, 2, 5 times a power of ten that is at least ``span``."""
-    power = F.pow(F.lit(10.0), F.floor(F.log10(span)))
-    part = span / power
-    return power * F.when(part <= 1, 1).when(part <= 2, 2).when(part <= 5, 5).otherwise(10)
-
-
 def escape_html(s: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         s = F.replace(s, F.lit(raw), F.lit(safe))
@@ -142,7 +135,3 @@ def fnv1a(text: Column) -> Column:
 def palette_index(text: Column, colours: int = 8) -> Column:
     return (fnv1a(text) % colours).cast("int")
 
-
-def ink_is_dark(r: Column, g: Column, b: Column) -> Column:
-    """Dark ink on light fills, by luminance."""
-    return (0.299 * r + 0.587 * g + 0.114 * b) > 150

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import display as Di
 from ..functions import scalar as S
 from ..operators import components as C
 from ..operators import geometry as G
@@ -19,6 +20,7 @@ from ..operators import notes as N
 from ..operators import runs as R
 from ..operators import segments as Sg
 from ..operators import series as Se
+from ..operators import setup as Su
 from ..operators import slabs
 from ..operators import stencil as St
 from ..operators import volume as V
@@ -680,3 +682,36 @@ def merge_points(spark, sf_dir):
     old = e.where("event_id < 50").select(name, F.col("event_id").alias("text"))
     new = e.where("event_id >= 10").select(name, F.when(F.col("event_id") % 2 == 0, F.col("event_id") + 1000).otherwise(F.col("event_id")).alias("text"))
     return N.merge_points(old, new)[0].select("point_id", "text")
+
+
+# --- showing values, reduced copies --------------------------------------------------------------------------
+
+
+_TINT = "'#' || lpad(printf('%x', event_id * 7919 % 16777216), 6, '0')"
+
+
+@query(f"""SELECT event_id, CASE WHEN part <= 1 THEN pw WHEN part <= 2 THEN 2 * pw WHEN part <= 5 THEN 5 * pw ELSE 10 * pw END AS step, CASE WHEN value >= 1 THEN 0 ELSE least(greatest(ceil(-log10(value)), 0), 4) END::INT AS digits,
+    CASE WHEN event_id = 0 THEN '0 B' WHEN event_id * 97 < 1024 THEN printf('%.0f B', (event_id * 97)::DOUBLE) WHEN event_id * 97 < 1048576 THEN printf('%.2f KiB', floor(event_id * 97 / 10.24::DOUBLE + 0.5) / 100) ELSE printf('%.2f MiB', floor(event_id * 97 / 10485.76::DOUBLE + 0.5) / 100) END AS size,
+    {_TINT} AS tint, (0.2126 * (event_id * 7919 % 16777216 // 65536) + 0.7152 * (event_id * 7919 % 16777216 // 256 % 256) + 0.0722 * (event_id * 7919 % 256)) / 255 > 0.45 AS dark
+    FROM (SELECT *, tg / pw AS part FROM (SELECT *, pow(10.0, floor(log10(tg))) AS pw FROM (SELECT *, greatest(value / 700, 1e-6) AS tg FROM events)))""")
+def display_values(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tint = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("event_id") * 7919 % 16777216)), 6, "0"))
+    return e.select("event_id", Di.value_step(F.col("value")).alias("step"), Di.digits(F.col("value")).alias("digits"), Di.byte_size(F.col("event_id") * 97).alias("size"), Di.colour(tint).alias("tint"), Di.dark_ink(Di.rgb(tint)).alias("dark"))
+
+
+@query("SELECT k, j, i, floor(avg(hu) * 1e4 + 0.5) / 1e4 AS hu FROM (SELECT floor((k * 4 + 3) / 10)::INT AS k, floor((j * 7 + 6) / 10)::INT AS j, i, hu FROM V WHERE k < 10) GROUP BY 1, 2, 3")
+def area_average_uneven(spark, sf_dir):
+    return _out(Su.area_average(vol(spark, sf_dir).where("k < 10"), (10, 10, 10), (10, 7, 4)))
+
+
+@query(f"SELECT k // 8 AS bk, j // 8 AS bj, i // 8 AS bi, bit_or(1 << s)::INT AS segments FROM (SELECT 0 AS s, k, j, i FROM ({_A}) UNION ALL SELECT 1, k, j, i FROM ({_B})) GROUP BY 1, 2, 3")
+def mask_bricks(spark, sf_dir):
+    a, b = _pair(spark, sf_dir)
+    both = a.withColumn("segment", F.lit(0)).unionByName(b.withColumn("segment", F.lit(1)))
+    return Su.mask_bricks(both).select("bk", "bj", "bi", "segments")
+
+
+@query(_islands(f"SELECT t.k::INT AS k, u.j::INT AS j, v.i::INT AS i FROM range(6) t(k), range(4) u(j), range(7) v(i), ({_A}) a WHERE a.k = floor(t.k * 9 / 5 + 0.5) AND a.j = floor(u.j * 9 / 3 + 0.5) AND a.i = floor(v.i * 9 / 6 + 0.5)"))
+def resampled_runs(spark, sf_dir):
+    return _rows(Su.resampled_runs(mask(spark, sf_dir).where("k < 10"), (10, 10, 10), (7, 4, 6)))
