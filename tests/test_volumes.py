@@ -105,6 +105,8 @@ def test_components(noise, spark):
         want = sorted(np.unique(flood(m), return_counts=True)[1][1:].tolist())
         assert sorted(r["voxels"] for r in C.sizes(lab).where(F.col("series_id") == s).collect()) == want
     assert (mask_of(C.at_least(ra, grids, 4), a.shape) == np.isin(flood(a), [n for n, c in zip(*np.unique(flood(a), return_counts=True), strict=True) if n and c >= 4])).all()
+    by_rounds = C.label(ra, grids, local_edges=0)
+    assert by_rounds.exceptAll(lab).count() == 0 and by_rounds.count() == lab.count()
     outside = flood(~a)
     rim = np.ones(a.shape, bool)
     rim[1:-1, 1:-1, 1:-1] = False

@@ -26,10 +26,10 @@ def edges(numbered: DataFrame) -> DataFrame:
     return a.join(b, ["series_id", "k", "j"]).where("x0 <= y1 and y0 <= x1").select("u", "v")
 
 
-def label(runs: DataFrame, grids: DataFrame) -> DataFrame:
+def label(runs: DataFrame, grids: DataFrame, local_edges: int = 1_000_000) -> DataFrame:
     """Runs with ``comp_id``: the linear index of the component's first voxel."""
     numbered = nodes(runs, grids)
-    stars = connected_components(edges(numbered))
+    stars = connected_components(edges(numbered), local_edges=local_edges)
     root = F.coalesce("root", "node").bitwiseAND(F.lit((1 << SHIFT) - 1))
     return numbered.join(stars, "node", "left").select(*runs.columns, root.alias("comp_id"))
 

@@ -134,10 +134,8 @@ def apply_edits(runs: DataFrame, edits: DataFrame) -> DataFrame:
     """Intersect with what is kept (if anything is) and subtract what is excluded."""
     keep = edits.where("kind = 'keep'").select(*R.ROW, "x0", "x1")
     gone = edits.where("kind = 'exclude'").select(*R.ROW, "x0", "x1")
-    any_keep = keep.groupBy().agg((F.count("*") > 0).alias("_any"))
-    kept = R.intersect(runs, keep)
-    whole = runs.select(*R.ROW, "x0", "x1").crossJoin(F.broadcast(any_keep)).where("not _any").drop("_any")  # one row, always
-    return R.subtract(R.union(kept, whole), gone)
+    kept = R.intersect(runs, keep) if keep.take(1) else runs.select(*R.ROW, "x0", "x1")
+    return R.subtract(kept, gone)
 
 
 def class_at(voxels: DataFrame, ranges: list[tuple[str, float, float]]) -> DataFrame:
