@@ -2,7 +2,7 @@
 
 Rows are drawn by a hash of their id, so a sample is the same at every run and
 on any number of executors; for each label at most about ``per_label`` rows of
-at most ``most_chars`` characters are taken (the only bound; everything that is
+at most ``most_chars`` characters are taken, and about ``most_rows`` in all (the only bounds; everything that is
 scored or counted covers all rows and whole texts).
 """
 
@@ -18,7 +18,7 @@ def _draw(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(DRAWS))
 
 
-def sample(docs: DataFrame, labels: DataFrame | None, label: str, usable, per_label: dict | int, doc_id: str = "doc_id", text: str = "text", most_chars: int = 20_000) -> list[tuple[str, object]]:
+def sample(docs: DataFrame, labels: DataFrame | None, label: str, usable, per_label: dict | int, doc_id: str = "doc_id", text: str = "text", most_chars: int = 20_000, most_rows: int = 8_000) -> list[tuple[str, object]]:
     """``(text, label)`` of the sample, in the order of the draw.
 
     Other columns don't matter.  ``labels(doc_id, label)`` is joined, or ``docs`` has the label itself if it is
@@ -31,9 +31,10 @@ def sample(docs: DataFrame, labels: DataFrame | None, label: str, usable, per_la
     if len(counts) > 1000:
         raise ValueError("more than 1000 labels")
     want = per_label if isinstance(per_label, dict) else dict.fromkeys(counts, per_label)
+    shrink = min(1.0, most_rows / max(1, sum(min(n, want.get(v, 0)) for v, n in counts.items())))
     cut = F.lit(0)
     for value, n in counts.items():
-        cut = F.when(F.col("sample_label") == F.lit(value), F.lit(min(DRAWS, int(DRAWS * want.get(value, 0) / n)))).otherwise(cut)
+        cut = F.when(F.col("sample_label") == F.lit(value), F.lit(min(DRAWS, int(DRAWS * shrink * want.get(value, 0) / n)))).otherwise(cut)
     drawn = known.where(_draw(F.col("sample_id")) < cut)
     fine = F.col(text).isNotNull() & (F.length(text) <= most_chars)
     if labels is None:
