@@ -63,6 +63,8 @@ def test_propagation_against_brute_force(spark):
         pages.append((p, f"http://{h}/{rng.choice(['en', 'de', 'fr'])}/{p}", html, "clash"))
     df = spark.createDataFrame([*pages, (100, None, None, "c"), (101, "nothing", "", "c"), pages[0]], "page_id long, url string, html string, trust string")
     out = urlfilter.judge(df, RULES).collect()
+    salted = urlfilter.judge(df, RULES, small=2)
+    assert sorted(map(str, salted.collect())) == sorted(map(str, out)) and salted.columns == urlfilter.judge(df, RULES).columns
     assert len(out) == len(pages) + 3
     by_host = {}
     for r in out:
