@@ -226,6 +226,15 @@ def test_slabs_equal_whole_volume(spark, block):
     assert max(abs(r["hu"] - want[r["series_id"]][r["k"], r["j"], r["i"]]) for r in got) < 1e-2
 
 
+def test_distance_over_planes(spark, block):
+    far = block + 5000
+    got = slabs.squared_distance(slabs.from_voxels(voxels(spark, block, far), 5, 6), 300, 400, (0.5, 0.7, 1.1)).collect()
+    want = K.squared_distance((block >= 300) & (block <= 400), (0.5, 0.7, 1.1))
+    assert len(got) == 2 * block.size
+    for r in got:
+        assert r["d2"] == (pytest.approx(want[r["k"], r["j"], r["i"]]) if r["series_id"] == 0 else 1e20)
+
+
 def test_filter_plan():
     with pytest.raises(ValueError):
         Stage("gaussian", {"strength": 2})

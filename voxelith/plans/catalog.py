@@ -444,6 +444,13 @@ def filter_chain(spark, sf_dir):
     return slabs.to_voxels(chain.run(p, g, 10, 10, SPACING)).select("k", "j", "i", r4(F.col("hu")).alias("hu"))
 
 
+@query(f"SELECT v.k, v.j, v.i, {_r4('min((v.i - f.i) ** 2 * 0.25 + (v.j - f.j) ** 2 * 0.25 + (v.k - f.k) ** 2 * 1.5625)')} AS d2 FROM V v, (SELECT k, j, i FROM V WHERE hu BETWEEN 0 AND 3071) f GROUP BY 1, 2, 3")
+def distance_to_class(spark, sf_dir):
+    """Exact distance transform of a sparse class."""
+    p, _ = _planes(spark, sf_dir)
+    return slabs.squared_distance(p, 0, HIGH, SPACING).select("k", "j", "i", r4(F.col("d2")).alias("d2"))
+
+
 # --- histograms and profiles ------------------------------------------------------------------------
 
 _BIN = "HB AS (SELECT least(greatest(floor(hu + 0.5) + 1024, 0), 4095)::INT AS bin, count(*) AS n FROM V GROUP BY 1)"
