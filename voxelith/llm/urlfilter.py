@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, discard, materialise, replaced
+from .common import ascii_lower, discard, fresh, materialise, replaced
 
 #: Rules become one expression in the plan.
 MOST_RULES = 1000
@@ -107,7 +107,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, stay: float
     return now.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html", rounds: int = 10, stay: float = 0.15, threshold: float = 0.5) -> DataFrame:
+def with_ranks(pages: DataFrame, ranks: DataFrame, small: int, salts: int = 32) -> DataFrame:
+    """Join each page's host scores.  A host may have a third of all pages, so pages are not dealt by host.
+
+    Up to ``small`` hosts are sent to all executors; a larger table is repeated for each of ``salts`` shares
+    of a host's pages and joined on both.
+    """
+    if ranks.limit(small + 1).count() <= small:
+        return pages.join(F.broadcast(ranks), "host", "left")
+    salt = fresh(pages, "salt")
+    dealt = pages.withColumn(salt, (F.monotonically_increasing_id() % salts).cast("int"))
+    many = ranks.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(many, ["host", salt], "left").drop(salt)
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html", rounds: int = 10, stay: float = 0.15, threshold: float = 0.5, small: int = 200_000) -> DataFrame:
     """``pages`` with host, path, rule, verdict (``allow`` or ``block``), trust and distrust of the host.
 
     A rule's verdict holds for its pages; others get their host's.  Pages without
@@ -119,8 +133,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str =
     marked = with_rule(pages, rules, url)
     share = lambda v: (F.count_if(F.col("rule_verdict") == v) / F.count("*")).alias({"allow": "trust0", "block": "distrust0"}[v])
     seeds = marked.where("host <> ''").groupBy("host").agg(share("allow"), share("block"))
+    seeds, _ = materialise(seeds, "seeds")
     ranks = propagate(host_edges(marked, html), seeds, rounds, stay)
-    scored = marked.join(ranks, "host", "left")
+    scored = with_ranks(marked, ranks, small)
     low = F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)), 9) >= threshold
     verdict = F.coalesce("rule_verdict", F.when(low, "block").otherwise("allow"))
     return scored.select(*pages.columns, "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
