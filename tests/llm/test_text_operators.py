@@ -319,3 +319,39 @@ def test_rows_that_share_an_id_keep_their_own_lines(spark):
     b = " ".join(words(i + 50, 9).capitalize() + "." for i in range(6))
     df = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
     assert sorted(r["text"] for r in linededup.dedup_lines(df).collect()) == sorted([a, "", b])
+
+
+def spans_left(before, after, n=50):
+    """Windows of ``n`` words that a later text kept although an earlier text has them word for word; lines play no part."""
+    windows = lambda t: [tuple(w[i : i + n]) for w in [t.split()] for i in range(len(w) - n + 1)]
+    seen, left, shared = set(), [], 0
+    for b, a in zip(before, after, strict=True):
+        shared += sum(x in seen for x in windows(b))
+        left += [x for x in windows(a) if x in seen]
+        seen.update(windows(b))
+    return shared, left
+
+
+def deduped(spark, texts):
+    out = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return [r["text"] for r in out.orderBy("doc_id").collect()]
+
+
+def test_a_shared_line_is_found_between_different_neighbours(spark):
+    """One long sentence, one line of a paragraph, or one whole sentence with parts of two others."""
+    rng = random.Random(11)
+    body = lambda n: words(rng.random(), n)
+    own = lambda: " ".join(body(rng.randint(4, 14)).capitalize() + "." for _ in range(4))
+    texts = []
+    for n in (50, 51, 60, 75, 93):
+        sentence, line, parts = body(n).capitalize() + ".", body(n), f"{body(n // 3)}. {body(n - 2 * (n // 3)).capitalize()}. {body(n // 3)}"
+        for _ in range(2):
+            texts += [f"{own()} {sentence} {own()}", f"{own()}\n{line}\n{own()}", f"{body(9)} {parts} {body(9)}."]
+    shared, left = spans_left(texts, deduped(spark, texts))
+    assert shared >= 5 * 3 and not left
+
+
+def test_lines_do_not_depend_on_the_other_texts_of_a_batch():
+    raws = [words(i, n).encode() for i, n in enumerate((3, 40, 1, 200, 15, 16, 17, 0, 90))]
+    whole = linededup.Lines(raws)
+    assert whole.words.tolist() == [n for r in raws for n in linededup.Lines([r]).words.tolist()]

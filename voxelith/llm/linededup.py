@@ -1,9 +1,12 @@
 """Line dedup by pairwise alignment.
 
-A text is cut into lines: at line breaks, after sentences, and, where a text
-has neither, after words that their hash picks, so that a passage pasted into
-the middle of another line still meets its copy.  Lines that follow each other
-are hashed in pairs; such a pair is rare even where a short line is common.
+A text is cut into lines: at line breaks, after sentences, and, in each stretch
+of ``WINDOW`` words that has neither, after its smallest two-word hash
+(winnowing).  Where a cut falls depends on the words near it only, so any 50
+words that two texts share, with the same line breaks, hold at least two whole
+lines with at least 20 words in all, whatever stands around them.  Lines that
+follow each other are hashed in pairs; such a pair is rare even where a short
+line is common.
 
 * Each line pair belongs to the first document (smallest id) that has it.  A
   later document with the same pair overlaps with that one; this is one link
@@ -29,17 +32,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, fresh, materialise, replaced
-from .textkit import NON_SPACE, Words, mix
+from .textkit import NON_SPACE, Words, mix, ngrams, sliding
 from .textkit import batches as runs_of
 
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?"]] = True
+#: Two-word hashes in a row of which one at least is followed by a cut: among 50 words the first cut
+#: comes after 15 at most and the last before 15 at most, which leaves 20 and, as these are more than
+#: a window, a cut between them.
+WINDOW = 15
+
+
+def _winnowed(hashes: np.ndarray, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``ends`` and, for each window of one text that has no end, its smallest two-word hashes (all, where they tie)."""
+    grams = ngrams(hashes, 2) | np.uint64(1)
+    if len(grams) < WINDOW:
+        return ends
+    grams[ends[:-1]] = 0
+    low = sliding(np.minimum, grams, WINDOW)
+    low[text[WINDOW:] != text[:-WINDOW]] = 0
+    around = np.zeros(WINDOW - 1, np.uint64)
+    best = sliding(np.maximum, np.concatenate([around, low, around]), WINDOW)
+    return ends | np.concatenate([best == grams, [False]])
 
 
 class Lines:
     """The lines of several texts: first byte (in the joined buffer), words, hash, text, place in it."""
 
-    def __init__(self, raws: list[bytes | None], pick: int = 64):
+    def __init__(self, raws: list[bytes | None]):
         w = Words(raws, NON_SPACE, fold=False)
         self.bytes_from, self.texts = w.first, len(raws)
         n = len(w.starts)
@@ -49,9 +69,10 @@ class Lines:
             self.cuts = np.zeros(len(raws) + 1, np.int64)
             return
         breaks = np.flatnonzero(w.plain == 10)
-        ends = _SENTENCE_END[w.plain[w.ends - 1]] | (w.hashes % np.uint64(pick) == 0)
+        ends = _SENTENCE_END[w.plain[w.ends - 1]]
         ends[:-1] |= np.searchsorted(breaks, w.starts[1:]) > np.searchsorted(breaks, w.ends[:-1])
         ends[:-1] |= w.text[1:] != w.text[:-1]
+        ends = _winnowed(w.hashes, w.text, ends)
         first = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
         self.words = np.diff(np.concatenate([first, [n]]))
         inner = (np.arange(n) - np.repeat(first, self.words)).astype(np.uint64)
@@ -138,10 +159,21 @@ def without(raw: bytes, gone: dict[int, int]) -> tuple[bytes, int]:
     return b"".join(raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)), len(drop)
 
 
-def shared_lines(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+def materialise_alone(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``materialise``, after which the files of the shuffles that made the table go: only the table is read again."""
+    name, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", df.sparkSession.conf
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return materialise(df, tag)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
+def shared_lines(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[str]]:
     """``(doc_id, shared array<struct<owner, theirs, mine, key>>)`` for each document that shares line pairs with an earlier one.
 
-    Also the path of the table of line pairs that it reads.
+    Also the paths of the tables that it reads.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(text).cast("string"), F.col(doc_id).cast("long"))
 
@@ -155,9 +187,9 @@ def shared_lines(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, st
 
     found, path = materialise(bounded_batches(rows).mapInArrow(run, "key long, doc long, place long"), "lines")
     first = found.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("theirs"))
-    first = first.where("owner < last").drop("last")
+    first, owners = materialise_alone(first.where("owner < last").drop("last"), "owners")
     later = found.join(first, "key").where("doc <> owner")
-    return later.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("owner", "theirs", F.col("place").alias("mine"), "key")).alias("shared")), path
+    return later.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("owner", "theirs", F.col("place").alias("mine"), "key")).alias("shared")), [path, owners]
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 20, counts: bool = False) -> DataFrame:
@@ -169,7 +201,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     an id are one document and don't delete each other's lines.  Ids are whole numbers.
     """
     docs = replaced(docs, "n_lines", "n_deleted") if counts else docs
-    shared, pairs = shared_lines(docs, doc_id, text)
+    shared, paths = shared_lines(docs, doc_id, text)
     kind = "doc_id long, gone array<struct<place:long,key:long>>"
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +216,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                 out.append([{"place": p, "key": of.get(p, of.get(p - 1))} for p in deletions(owner[s:e], theirs[s:e], mine[s:e], min_words)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, target)], names=["doc_id", "gone"])
 
-    gone, _ = materialise(shared.mapInArrow(plan, kind).where(F.size("gone") > 0), "deletions")
-    discard(docs.sparkSession, pairs)
+    gone, _ = materialise_alone(shared.mapInArrow(plan, kind).where(F.size("gone") > 0), "deletions")
+    for path in paths:
+        discard(docs.sparkSession, path)
     mark, place = fresh(docs, "gone"), docs.columns.index(text)
     key = fresh(docs, "gone_id")
     joined = docs.join(gone.select(F.col("doc_id").alias(key), F.col("gone").alias(mark)), F.col(doc_id).cast("long") == F.col(key), "left").drop(key)
