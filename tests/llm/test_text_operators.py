@@ -355,3 +355,23 @@ def test_lines_do_not_depend_on_the_other_texts_of_a_batch():
     raws = [words(i, n).encode() for i, n in enumerate((3, 40, 1, 200, 15, 16, 17, 0, 90))]
     whole = linededup.Lines(raws)
     assert whole.words.tolist() == [n for r in raws for n in linededup.Lines([r]).words.tolist()]
+
+
+@pytest.mark.parametrize("kind", ["plain", "cjk", "list", "frequent"])
+def test_a_shared_passage_without_ascii_ends_is_found(spark, kind):
+    """50 to 200 words in the middle of a line that has no full stop, exclamation or question mark."""
+    rng = random.Random(kind)
+
+    def body(n):
+        if kind == "frequent":
+            return " ".join(rng.choices([words(i, 1) for i in range(60)], [1 / (i + 1) for i in range(60)], k=n))
+        w = words(rng.random(), n).split()
+        return " ".join(x + "。" if kind == "cjk" and i % 9 == 8 else f"{x}\n-" if kind == "list" and i % 7 == 6 else x for i, x in enumerate(w))
+
+    texts = []
+    for n in (50, 51, 80, 100, 200):
+        for _ in range(3):
+            passage = body(n)
+            texts += [f"{body(rng.randint(5, 40))} {passage} {body(rng.randint(5, 40))}" for _ in range(2)]
+    shared, left = spans_left(texts, deduped(spark, texts))
+    assert shared >= 3 * (1 + 2 + 31 + 51 + 151) and not left
