@@ -375,3 +375,10 @@ def test_a_shared_passage_without_ascii_ends_is_found(spark, kind):
             texts += [f"{body(rng.randint(5, 40))} {passage} {body(rng.randint(5, 40))}" for _ in range(2)]
     shared, left = spans_left(texts, deduped(spark, texts))
     assert shared >= 3 * (1 + 2 + 31 + 51 + 151) and not left
+
+
+def test_blocks_in_another_order_go_too(spark):
+    p, q, r = (" ".join(words(100 * i + j, 9).capitalize() + "." for j in range(n)) for i, n in enumerate((6, 5, 4)))
+    own = words(77, 12).capitalize() + "."
+    few = " ".join(p.split()[:18])
+    assert deduped(spark, [f"{p} {q} {r}", f"{r} {q} {p}", f"{r} {q} {p}", f"{q} {own} {r} {own} {few}"]) == [f"{p} {q} {r}", "", "", f"{own} {own} {few}"]

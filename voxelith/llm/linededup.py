@@ -13,7 +13,9 @@ line is common.
   for each later occurrence, however many documents share a passage.
 * For each overlapping pair of documents the shared line pairs, numbered where
   they repeat, are unique in both; as in patience diff the longest run that
-  rises in both documents (patience sorting) is the alignment.
+  rises in both documents (patience sorting) is the alignment.  What it rejects
+  is common too where it makes a block of ``min_words`` words that follow each
+  other in both documents: blocks in another order than the owner's.
 * Lines of the later document that lie in an alignment form common blocks;
   blocks of at least ``min_words`` words are deleted.
 
@@ -118,6 +120,21 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def moved(theirs: np.ndarray, mine: np.ndarray, left: np.ndarray, min_words: int) -> np.ndarray:
+    """Those of the line pairs ``left`` by an alignment that make blocks of at least ``min_words`` words in both documents.
+
+    Blocks of one owner have no pair of its text in common, so a longest rising run holds a block whole or not at all.
+    """
+    step = np.diff(mine[left] >> 32)
+    out = [left[:0]]
+    for chain in np.split(left, np.flatnonzero((step > 2) | (np.diff(theirs[left]) != step)) + 1):
+        x = mine[chain]
+        ends = np.append(np.diff(x >> 32) > 1, True)
+        if (x >> 16 & 0xFFFF).sum() + (x[ends] & 0xFFFF).sum() >= min_words:
+            out.append(chain)
+    return np.concatenate(out)
+
+
 def deletions(owner: np.ndarray, theirs: np.ndarray, mine: np.ndarray, min_words: int) -> list[int]:
     """Places of the lines to delete from one document, from all its shared line pairs."""
     order = np.lexsort((mine, owner))
@@ -126,7 +143,11 @@ def deletions(owner: np.ndarray, theirs: np.ndarray, mine: np.ndarray, min_words
     words: dict[int, int] = {}
     for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(owner)], strict=True):
         a = theirs[at:end]
-        kept = mine[at:end] if (np.diff(a) > 0).all() else mine[at:end][rising(a.tolist())]
+        kept = mine[at:end]
+        if not (np.diff(a) > 0).all():
+            run = np.array(rising(a.tolist()))
+            left = np.setdiff1d(np.arange(len(a)), run)
+            kept = kept[np.concatenate([run, moved(a, kept, left, min_words)])]
         for x in kept.tolist():
             words[x >> 32] = x >> 16 & 0xFFFF
             if x & 0xFFFF:
