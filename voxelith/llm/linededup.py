@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, fresh, materialise, replaced
-from .textkit import NON_SPACE, Words, mix, ngrams, sliding
+from .textkit import NON_SPACE, Words, mix, ngrams
 from .textkit import batches as runs_of
 
 _SENTENCE_END = np.zeros(256, bool)
@@ -45,16 +45,24 @@ _SENTENCE_END[[ord(c) for c in ".!?"]] = True
 WINDOW = 15
 
 
+def _sliding(op, a: np.ndarray) -> np.ndarray:
+    """``sliding(op, a, WINDOW)`` from windows of 2, 4 and 8, two of which overlap in a whole one."""
+    low = a
+    for w in (1, 2, 4):
+        low = op(low[:-w], low[w:])
+    return op(low[: len(a) - WINDOW + 1], low[WINDOW - 8 :])
+
+
 def _winnowed(hashes: np.ndarray, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """``ends`` and, for each window of one text that has no end, its smallest two-word hashes (all, where they tie)."""
     grams = ngrams(hashes, 2) | np.uint64(1)
     if len(grams) < WINDOW:
         return ends
     grams[ends[:-1]] = 0
-    low = sliding(np.minimum, grams, WINDOW)
+    low = _sliding(np.minimum, grams)
     low[text[WINDOW:] != text[:-WINDOW]] = 0
     around = np.zeros(WINDOW - 1, np.uint64)
-    best = sliding(np.maximum, np.concatenate([around, low, around]), WINDOW)
+    best = _sliding(np.maximum, np.concatenate([around, low, around]))
     return ends | np.concatenate([best == grams, [False]])
 
 
