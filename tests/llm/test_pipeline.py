@@ -68,7 +68,7 @@ def test_decontamination(spark, stages):
 
 def test_packing_holds_every_token(stages):
     _, before, after = stages[4]
-    total = {i: len(packing.encoder(tokenizer_path()).encode_ordinary(r["text"])) + 1 for i, r in rows(before).items()}
+    total = {i: len(packing.encoder(tokenizer_path()).ids(r["text"])) + 1 for i, r in rows(before).items()}
     got = {}
     for r in after.collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]

@@ -91,8 +91,14 @@ def brute_components(fps, limit=2):
     return [find(a) for a in range(n)]
 
 
-@pytest.mark.parametrize("dense", [64, 3])
-def test_links_make_the_components_of_brute_force(spark, dense):
+def test_block_pivots_determine_the_block():
+    for width in simhash.WIDTHS[1:]:
+        p = simhash.block_pivots(width)
+        assert len({tuple((x ^ y).bit_count() - x.bit_count() for y in p) for x in range(1 << width)}) == 1 << width
+
+
+@pytest.mark.parametrize(("split", "distance"), [(64, 2), (3, 2), (3, 1)])
+def test_links_are_those_of_brute_force(spark, split, distance):
     rng = random.Random(5)
     fps = []
     for _ in range(25):  # chains and clusters of flips, one of them large
@@ -102,11 +108,28 @@ def test_links_make_the_components_of_brute_force(spark, dense):
             for _ in range(rng.choice([0, 1, 2, 3])):
                 x ^= 1 << rng.randrange(64)
     fps = sorted(set(fps) | {0, (1 << 64) - 1, 1, 3})
+    centre = rng.getrandbits(64)  # a dense bucket: all neighbours of one fingerprint, and two blocks filled at random
+    fps = sorted({*fps, *(centre ^ (1 << i) for i in range(64)), *(centre ^ rng.getrandbits(24) for _ in range(150))})
     df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
-    star = {r["node"]: r["root"] for r in connected_components(simhash.links(df, 2, dense)).collect()}
-    got = [star.get(simhash._signed(x), simhash._signed(x)) for x in fps]
-    want = brute_components(fps)
-    assert len({*zip(got, want, strict=True)}) == len(set(got)) == len(set(want))
+    edges, _ = simhash.links(df, distance, split)
+    got = {(r["u"] & ((1 << 64) - 1), r["v"] & ((1 << 64) - 1)) for r in edges.collect()}
+    want = {(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= distance}
+    assert {tuple(sorted(x)) for x in got} == want
+
+
+def test_components_of_fingerprints(spark):
+    rng = random.Random(6)
+    texts = [words(i // 3, 80) + (" end" * rng.randrange(2)) for i in range(60)]
+    got = {r[0]: r[2] for r in simhash.near_duplicates(spark.createDataFrame(rows(texts), DOC), shingle=3).collect()}
+    assert [got[i] for i in range(60)] == brute_components([plain_simhash(t, 3) for t in texts])
+
+
+def test_different_texts_of_one_id_both_stay(spark):
+    a, b, c = words(1, 60), words(2, 60), words(3, 60)
+    df = spark.createDataFrame([(7, a, "p"), (7, b, "q"), (7, b, "q"), (8, a, "r"), (9, c, "s"), (None, c, "t"), (10, None, "u"), (10, "", "v")], "doc_id long, text string, kept_text string")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(7, a), (7, b), (9, c), (0, c), (10, "")])
 
 
 def test_near_duplicates_and_edge_cases(spark):
@@ -159,7 +182,16 @@ def test_encoder_gives_the_ids_of_tokenizers():
     t, e = Tokenizer.from_file(path), packing.encoder(path)
     texts = ["", " ", "Hello  world's\n\n end", "ñandú écoute ß 漢字 🙂‍↔️ \u200d", "x" * 500, "a <|endoftext|> b", "\t\r\n \x00 0123456789", words(8, 100)]
     for x in texts:
-        assert e.encode(x, allowed_special="all") == t.encode(x, add_special_tokens=False).ids
+        assert e.ids(x) == t.encode(x, add_special_tokens=False).ids
+
+
+def test_long_runs_of_one_character_are_encoded():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), packing.encoder(path)
+    for c, n in ((" ", 1_100_000), ("\u3000", 1_100_000), ("\n", 200_000), ("a", 200_000), ("-", 200_000)):
+        x = "One " + c * n + "b <|endoftext|>"
+        assert e.ids(x) == t.encode(x, add_special_tokens=False).ids
+    assert not packing.long_space(" " * 49_999) and packing.long_space("ab" + " " * 100_000 + "c")
 
 
 def test_packing_keeps_every_id_once(spark):

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..plans.shared import discard, materialise, shared_dir
 
-__all__ = ["ascii_lower", "bounded_batches", "discard", "doc_crc", "fresh", "materialise", "read", "replaced", "shared_dir"]
+__all__ = ["ascii_lower", "bounded_batches", "discard", "doc_crc", "fresh", "join_hot", "materialise", "read", "replaced", "shared_dir"]
+
+#: A key is hot if it has over one in so many rows, so there are fewer hot keys than this.
+HOT_SHARE = 1000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -47,3 +50,22 @@ def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     if not 0 < int(conf.get(name)) <= rows:
         conf.set(name, rows)
     return df
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Left join of ``big``, whose keys may be very unequal, with ``small``, which has one row a key.
+
+    Keys that hold over one in ``HOT_SHARE`` of ``big``'s rows are fewer than ``HOT_SHARE``, whatever the
+    input, so their rows of ``small`` are broadcast and theirs of ``big`` stay where they are; all others
+    are shuffled by key.  ``big`` must be a stored table (it is read twice); ``counts(key, n)`` says how
+    many of its rows have each key, counted here if not given.
+    """
+    if counts is None:
+        counts = big.groupBy(key).agg(F.count("*").alias("n"))
+    total = big.count()
+    hot = [r[0] for r in counts.where((F.col("n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return big.join(small, key, "left")
+    known = F.col(key).isin(hot)
+    near = big.where(known).join(F.broadcast(small.where(known)), key, "left")
+    return near.unionByName(big.where(known.isNull() | ~known).join(small, key, "left"))

@@ -1,24 +1,21 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Every distinct fingerprint gets its Hamming distances to a fixed set of
-reference fingerprints (pivots): the origin, twelve pivots inside each of four
-16-bit blocks, and eight pivots that span all bits.
+reference fingerprints (pivots): the origin, pivots inside each of four 16-bit
+blocks, and eight pivots that span all bits.
 
 * *Candidates.* Flipping one bit moves the coordinates, relative to the
   origin's, of the pivots of one block only.  Fingerprints at most two bits
   apart therefore agree on all relative coordinates of at least two of the
   four blocks: six equi-join keys, one for each pair of blocks.
+* *Splitting.* A key that more than ``split`` fingerprints share (a large group
+  of near copies) is split by further pivots: what lies outside its two blocks
+  is cut into four smaller blocks, of which two agree again.  After the third
+  level all but eight bits agree, so no bucket holds over 256 fingerprints.
 * *Discard.* A pair whose distances to any wide pivot differ by more than the
   limit cannot be within it (triangle inequality); it goes before the check.
 * *Verify.* Survivors are compared bit by bit.
 
-A key may hold very many fingerprints (a large group of near copies).  Up to
-``dense`` of them, pairs are formed; a denser bucket is linked exactly without
-pairs: each fingerprint is dealt to itself and its 64 one-bit neighbours, and
-two fingerprints are at most two bits apart exactly if they meet at one of
-these 65 points, so linking all that meet at a point to the smallest there
-keeps all components.
-
 Identical fingerprints are folded before anything is joined, so a text copied
 a million times is one fingerprint.  Limits above two bits are refused.
 """
@@ -35,19 +32,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import bounded_batches, fresh, materialise
+from .common import bounded_batches, discard, fresh, join_hot, materialise
 
-BLOCKS, PER_BLOCK, WIDE = 4, 12, 8
+BLOCKS, WIDE = 4, 8
+#: Bits of a block at each level of splitting.
+WIDTHS = (16, 8, 4)
 #: Hashes of one document that are counted at a time.
 STEP = 1 << 16
 
 
-def pivots(seed: int = 20) -> tuple[list[list[int]], list[int]]:
-    """Reference fingerprints: ``PER_BLOCK`` half-weight ones for each block, ``WIDE`` over all bits."""
+def block_pivots(width: int, seed: int = 20) -> list[int]:
+    """``width`` half-weight references inside a block whose distances, relative to the origin's, determine its bits."""
+    rng = np.random.default_rng(seed + width)
+    while True:
+        rows = np.array([rng.permutation(width) < width // 2 for _ in range(width)], float)
+        if np.linalg.matrix_rank(rows) == width:
+            return [sum(1 << i for i in np.flatnonzero(r).tolist()) for r in rows]
+
+
+def wide_pivots(seed: int = 20) -> list[int]:
+    """``WIDE`` half-weight references over all bits."""
     rng = np.random.default_rng(seed)
-    width = 64 // BLOCKS
-    draw = lambda low, n: sum(1 << (low + int(i)) for i in rng.permutation(n)[: n // 2])
-    return [[draw(b * width, width) for _ in range(PER_BLOCK)] for b in range(BLOCKS)], [draw(0, 64) for _ in range(WIDE)]
+    return [sum(1 << int(i) for i in rng.permutation(64)[:32]) for _ in range(WIDE)]
 
 
 def _signed(x: int) -> int:
@@ -91,38 +97,82 @@ def _distance(fp: Column, pivot: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot)))).cast("byte")
 
 
+def _relative(block: Column, width: int) -> list[Column]:
+    """Distances of a block's bits to its pivots, less the distance to the origin."""
+    return [(_distance(block, p) - F.bit_count(block)).cast("byte") for p in block_pivots(width)]
+
+
+def _keys(rest: Column, width: int) -> Column:
+    """For each pair of the four blocks of ``rest`` its key of relative coordinates, and the bits outside, packed."""
+    part = [F.shiftrightunsigned(rest, b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(BLOCKS)]
+    rel = [_relative(p, width) for p in part]
+    out = []
+    for i, (a, b) in enumerate(combinations(range(BLOCKS), 2)):
+        c, d = (x for x in range(BLOCKS) if x not in (a, b))
+        left = part[c].bitwiseOR(F.shiftleft(part[d], width))
+        out.append(F.struct(F.xxhash64(F.lit(i), *rel[a], *rel[b]).alias("key"), F.lit(i).cast("byte").alias("pair"), left.alias("rest")))
+    return F.array(*out)
+
+
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """``(fp, w0..w7, keys array<long>)``: wide distances, and a key for each pair of blocks."""
-    inner, wide = pivots()
+    """``(fp, w0..w7, keys array<struct<key, pair, rest>>)``: wide distances, and a key for each pair of blocks."""
     fp = F.col("fp")
-    rel = [[_distance(fp, p) - F.bit_count(fp).cast("byte") for p in block] for block in inner]
-    keys = [F.xxhash64(F.lit(i), *rel[a], *rel[b]) for i, (a, b) in enumerate(combinations(range(BLOCKS), 2))]
-    return fps.select("fp", *(_distance(fp, p).alias(f"w{i}") for i, p in enumerate(wide)), F.array(*keys).alias("keys"))
+    return fps.select("fp", *(_distance(fp, p).alias(f"w{i}") for i, p in enumerate(wide_pivots())), _keys(fp, WIDTHS[0]).alias("keys"))
 
 
-def links(fps: DataFrame, distance: int = 2, dense: int = 64) -> DataFrame:
-    """Edges ``(u, v)`` between distinct fingerprints whose components are those of "at most ``distance`` bits apart"."""
-    if not 0 <= distance <= BLOCKS - 2:
-        raise ValueError(f"the blocks prove completeness up to {BLOCKS - 2} bits")
-    table = pivot_table(fps)
-    ws = [c for c in table.columns if c.startswith("w")]
-    keyed = table.select("fp", *ws, F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, "key")
-    a = keyed.where(F.col("n") <= dense).drop("n")
+def _pairs(a: DataFrame, distance: int) -> DataFrame:
+    """Pairs inside the buckets of ``a`` that no wide pivot discards and that are at most ``distance`` bits apart."""
+    ws = [f"w{i}" for i in range(WIDE)]
+    a = a.select("key", "fp", *ws)
     b = a.select("key", *(F.col(c).alias(f"{c}_b") for c in a.columns if c != "key"))
     gap = reduce(F.greatest, (F.abs(F.col(w) - F.col(f"{w}_b")) for w in ws))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= distance
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("fp") < F.col("fp_b")) & (gap <= distance) & near)
-    pairs = pairs.select(F.col("fp").alias("u"), F.col("fp_b").alias("v"))
-    if distance < 2:  # meeting at a point proves two bits, no fewer
-        return pairs if dense >= 1 << 40 else links(fps, distance, 1 << 40)
-    many = keyed.where(F.col("n") > dense).select("fp").distinct()
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
-    points = many.select("fp", F.explode(flips).alias("point"))
-    first = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("last")).where("v < last")
-    meets = points.join(first.drop("last"), "point").select(F.col("fp").alias("u"), "v").where("u <> v")
-    return pairs.union(meets)
+    return pairs.select(F.col("fp").alias("u"), F.col("fp_b").alias("v"))
+
+
+def links(fps: DataFrame, distance: int = 2, split: int = 64) -> tuple[DataFrame, list[str]]:
+    """All edges ``(u, v)`` between distinct fingerprints at most ``distance`` bits apart; a pair may come up several times.
+
+    Also the paths of the stored tables that it reads.
+    """
+    if not 0 <= distance <= BLOCKS - 2:
+        raise ValueError(f"the blocks prove completeness up to {BLOCKS - 2} bits")
+    ws = [f"w{i}" for i in range(WIDE)]
+    keyed = pivot_table(fps).select("fp", *ws, F.inline("keys"))
+    found, paths = [], []
+    for level in range(len(WIDTHS)):
+        last = level + 1 == len(WIDTHS)
+        keyed, path = materialise(keyed, "keyed")
+        paths.append(path)
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
+        if last:
+            found.append(_pairs(keyed, distance))
+            break
+        sizes, path = materialise(sizes.where("n > 1"), "sizes")
+        paths.append(path)
+        found.append(_pairs(keyed.join(sizes.where(F.col("n") <= split), "key", "left_semi"), distance))
+        if not sizes.where(F.col("n") > split).take(1):
+            break
+        dense = join_hot(keyed, sizes.where(F.col("n") > split), "key", sizes).where("n is not null")
+        below = F.struct("key", "pair")
+        keyed = dense.select("fp", *ws, below.alias("above"), F.explode(_keys(F.col("rest"), WIDTHS[level + 1])).alias("k"))
+        keyed = keyed.select("fp", *ws, F.xxhash64("above", "k.key").alias("key"), "k.pair", "k.rest")
+    return reduce(DataFrame.union, found), paths
+
+
+def _groups(rows: DataFrame, shingle: int, distance: int, seed: int) -> tuple[DataFrame, list[str]]:
+    """``rows(doc_id, text, ...)`` without the text, with ``simhash`` and ``root``, the fingerprint that stands for its component."""
+    spark = rows.sparkSession
+    marked, marked_at = materialise(with_fingerprint(rows, "text", shingle, seed), "simhash")
+    fps, fps_at = materialise(marked.groupBy("simhash").agg(F.count("*").alias("n")), "fps")
+    edges, used = links(fps.select(F.col("simhash").alias("fp")), distance)
+    star = connected_components(edges)
+    for path in used:
+        discard(spark, path)
+    rooted = star.select(F.col("node").alias("simhash"), "root")
+    out = join_hot(marked, rooted, "simhash", fps).withColumn("root", F.coalesce("root", "simhash"))
+    return out, [marked_at, fps_at]
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 2, seed: int = 42) -> DataFrame:
@@ -135,21 +185,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ids.  An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked, _ = materialise(with_fingerprint(rows, "text", shingle, seed), "simhash")
-    fps, _ = materialise(marked.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("first")), "fps")
-    star = connected_components(links(fps.select("fp"), distance))
-    rooted = fps.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(named, "root").select(F.col("fp").alias("simhash"), "component_id")
-    return marked.join(named, "simhash", "left").select("doc_id", "simhash", "component_id")
+    found, _ = _groups(rows, shingle, distance, seed)
+    found, _ = materialise(found, "grouped")
+    names = found.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    names, _ = materialise(names, "names")
+    return join_hot(found, names.drop("n"), "root", names).select("doc_id", "simhash", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 2, seed: int = 42) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id.
 
-    Rows that repeat this id fold to one; rows with a null id stay.  All columns are kept.
+    Rows are told apart by id and text: rows that repeat both fold to one, different texts that share an id are
+    grouped each by its own fingerprint, so no text goes unless its group keeps one.  Where several
+    texts of a group share the smallest id, the one with the smallest hash stays.  Rows with a null id
+    stay.  All columns are kept; extra columns may have any name.  An empty table gives no rows.
     """
-    found = near_duplicates(docs, doc_id, text, **params).where("doc_id = component_id").select("doc_id").distinct()
-    mark = fresh(docs, "kept_id")
-    kept = docs.join(found.withColumnRenamed("doc_id", mark), F.col(doc_id) == F.col(mark), "left_semi")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    named = docs.where(F.col(doc_id).isNotNull())
+    ident, words = fresh(docs, "kept_id"), fresh(docs, "kept_text")
+    digest = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(text).isNull())
+    rows = named.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), digest.alias("digest"))
+    found, _ = _groups(rows, shingle, distance, seed)
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("best")).select(F.col("best.doc_id").alias(ident), F.col("best.digest").alias(words))
+    # repeated rows fold on the map side before anything else is dealt by id
+    once = named.withColumn(ident, F.col(doc_id)).withColumn(words, digest).dropDuplicates([ident, words])
+    kept = once.join(best, [ident, words], "left_semi").select(docs.columns)
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
