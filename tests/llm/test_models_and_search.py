@@ -35,25 +35,42 @@ def test_rules(spark):
     assert {r["url"]: r["rule"] for r in urlfilter.with_rule(df, RULES).collect()} == urls
 
 
-def brute_ranks(edges, seeds, rounds=10, stay=0.15):
-    hosts = set(seeds) | {h for e in edges for h in e}
-    out = {h: sum(n for (a, _), n in edges.items() if a == h) for h in hosts}
-    into = {h: sum(n for (_, b), n in edges.items() if b == h) for h in hosts}
-    t = {h: seeds.get(h, (0, 0))[0] for h in hosts}
-    d = {h: seeds.get(h, (0, 0))[1] for h in hosts}
-    for _ in range(rounds):
-        t, d = (
-            {h: stay * seeds.get(h, (0, 0))[0] + (1 - stay) * (sum(n / out[a] * t[a] for (a, b), n in edges.items() if b == h) if into[h] else t[h]) for h in hosts},
-            {h: stay * seeds.get(h, (0, 0))[1] + (1 - stay) * (sum(n / into[b] * d[b] for (a, b), n in edges.items() if a == h) if out[h] else d[h]) for h in hosts},
-        )
-    return {h: (t[h], d[h]) for h in hosts}
-
-
-def test_propagation_against_brute_force(spark):
+def matrix_ranks(edges, seeds, rounds, stay=0.15):
+    """Trust and distrust by dense matrices; ``rounds`` None: the fixed point, by solving the linear system."""
+    hosts = sorted(set(seeds) | {h for e in edges for h in e})
+    at = {h: i for i, h in enumerate(hosts)}
+    a = np.zeros((len(hosts), len(hosts)))
+    for (x, y), n in edges.items():
+        a[at[x], at[y]] = n
+
+    def rank(a, seed):
+        """The rank, and the part of it that came over links in the last step."""
+        links = (a / np.maximum(1, a.sum(1, keepdims=True))).T
+        if not seed.sum():
+            return seed, seed
+        walk = links + np.outer(seed / seed.sum(), a.sum(1) == 0)
+        if rounds is None:
+            x = np.linalg.solve(np.eye(len(seed)) - (1 - stay) * walk, stay * seed)
+            return x, links @ x
+        x = seed
+        for _ in range(rounds):
+            x, over = stay * seed + (1 - stay) * walk @ x, links @ x
+            assert x.sum() == pytest.approx(seed.sum())
+        return x, over
+
+    out = []
+    for m, k in ((a, 0), (a.T, 1)):
+        seed = np.array([float(seeds.get(h, (0, 0))[k]) for h in hosts])
+        part, whole = rank(m, seed)[1], rank(m, np.ones(len(hosts)))[1]
+        out.append(np.maximum(seed, np.minimum(1, part / np.where(whole > 0, whole, 1))))
+    return {h: (out[0][i], out[1][i]) for h, i in at.items()}
+
+
+def linked_pages(n=60):
     rng = random.Random(3)
     hosts = [f"h{i}.example.{'com' if i % 2 else 'net'}" for i in range(8)]
     pages, edges = [], {}
-    for p in range(60):
+    for p in range(n):
         h = rng.choice(hosts)
         links = [rng.choice([*hosts, "only.linked.org"]) for _ in range(rng.randrange(3))]
         for to in links:
@@ -61,23 +78,23 @@ def test_propagation_against_brute_force(spark):
                 edges[h, to] = edges.get((h, to), 0) + 1
         html = "".join(f'<a class=x HREF="{rng.choice(["http:", "https:", ""])}//{to.upper()}/p">y</a>' for to in links) + '<a href="/rel">r</a>'
         pages.append((p, f"http://{h}/{rng.choice(['en', 'de', 'fr'])}/{p}", html, "clash"))
-    df = spark.createDataFrame([*pages, (100, None, None, "c"), (101, "nothing", "", "c"), pages[0]], "page_id long, url string, html string, trust string")
-    out = urlfilter.judge(df, RULES).collect()
-    salted = urlfilter.judge(df, RULES, small=2)
-    assert sorted(map(str, salted.collect())) == sorted(map(str, out)) and salted.columns == urlfilter.judge(df, RULES).columns
-    assert len(out) == len(pages) + 3
+    return pages, edges
+
+
+def test_propagation_against_matrices(spark):
+    pages, edges = linked_pages()
+    df = spark.createDataFrame([*pages, (100, None, None, "c"), (101, "nothing", "", "c")], "page_id long, url string, html string, trust string")
+    judged = urlfilter.judge(df, RULES, rounds=3)
+    out = judged.collect()
+    dealt = urlfilter.judge(df, RULES, rounds=3, small=2)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, out)) and dealt.columns == judged.columns
+    assert len(out) == len(pages) + 2
     by_host = {}
     for r in out:
         if r["host"]:
             by_host.setdefault(r["host"], []).append(r["verdict"] if r["rule"] else None)
     seeds = {h: (v.count("allow") / len(v), v.count("block") / len(v)) for h, v in by_host.items()}
-    edges0 = dict(edges)
-    first = pages[0]
-    for to in re.findall(r'HREF="[a-z:]*//([^/]+)/p', first[2]):
-        src = urlfilter_host(first[1])
-        if to.lower() != src:
-            edges0[src, to.lower()] += 1
-    want = brute_ranks(edges0, seeds)
+    want = matrix_ranks(edges, seeds, 3)
     for r in out:
         if r["host"]:
             assert r["trust"] == pytest.approx(want[r["host"]][0]) and r["distrust"] == pytest.approx(want[r["host"]][1])
@@ -88,8 +105,35 @@ def test_propagation_against_brute_force(spark):
     assert urlfilter.judge(df.limit(0), RULES).count() == 0
 
 
-def urlfilter_host(url):
-    return url.split("://")[1].split("/")[0]
+def test_many_rounds_reach_the_fixed_point():
+    edges = {("a", "b"): 3, ("b", "c"): 1, ("c", "a"): 1, ("c", "d"): 2, ("e", "d"): 1, ("f", "f2"): 1}
+    seeds = {"a": (1.0, 0.0), "d": (0.0, 0.75), "lone": (0.5, 0.25)}
+    got, want = matrix_ranks(edges, seeds, 60), matrix_ranks(edges, seeds, None)
+    assert all(got[h] == pytest.approx(want[h], abs=1e-4) for h in want)
+    assert want["a"][0] == 1 and want["d"][1] == 0.75 and want["lone"] == (0.5, 0.25)
+
+
+def test_a_link_frees_no_host_and_taints_none(spark):
+    link = lambda to: f'<a href="http://{to}/1">x</a>'
+    pages = [(i, f"http://bad.com/en/{i}", "") for i in range(3)] + [(3, "http://bad.com/x", link("neutral.info") + link("good.net"))]
+    pages += [(10 + i, f"http://good.net/de/{i}", "") for i in range(3)] + [(13, "http://good.net/x", "")]
+    pages += [(20, "http://new.info/x", link("good.net")), (21, "http://neutral.info/x", "")]
+    pages += [(30 + i, f"http://farm.info/{i}", link("bad.com")) for i in range(4)]
+    out = urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES, rounds=3).collect()
+    verdict = {r["page_id"]: r["verdict"] for r in out}
+    assert verdict[3] == "block" and verdict[13] == "allow"
+    assert {verdict[30 + i] for i in range(4)} == {"block"}
+    assert verdict[20] == verdict[21] == "allow"
+
+
+def test_many_rules_are_joined(spark):
+    rng = random.Random(8)
+    pages, _ = linked_pages()
+    rules = [urlfilter.Rule(rng.choice(["allow", "block"]), rng.choice(["com", "net", "example.com", "h1.example.com", "org", "example.net"]), "/" + rng.choice(["", "e", "en/", "de/1", "fr/", "en/3"])) for _ in range(60)]
+    odd = [(200, None, None, "x"), (201, "http://com", "", "x"), (202, "http://com/?q", "", "x"), (203, "http://a..com/en/", "", "x"), pages[0]]
+    df = spark.createDataFrame([*pages, *odd], "page_id long, url string, html string, url_key string")
+    whole, joined = urlfilter.with_rule(df, rules), urlfilter.with_rule(df, rules, inline=0)
+    assert joined.columns == whole.columns and sorted(map(str, joined.collect())) == sorted(map(str, whole.collect()))
 
 
 # --- secrets ------------------------------------------------------------------------------------------

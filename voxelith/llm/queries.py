@@ -110,15 +110,23 @@ def _op2_sql() -> str:
         "e0 AS (SELECT src, dst, count(*) AS n FROM l2 WHERE dst <> '' AND src <> '' AND src <> dst GROUP BY 1, 2)",
         "e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS fw, n / sum(n) OVER (PARTITION BY dst) AS bw FROM e0)",
         "s0 AS (SELECT host, count(*) FILTER (rule_verdict = 'allow') / count(*) AS t0, count(*) FILTER (rule_verdict = 'block') / count(*) AS d0 FROM m WHERE host <> '' GROUP BY 1 UNION ALL SELECT src, 0, 0 FROM e UNION ALL SELECT dst, 0, 0 FROM e)",
-        "s AS (SELECT host, max(t0) AS t0, max(d0) AS d0, host IN (SELECT src FROM e) AS has_out, host IN (SELECT dst FROM e) AS has_in FROM s0 GROUP BY host)",
-        "r0 AS MATERIALIZED (SELECT host, t0 AS t, d0 AS d FROM s)",
+        "r0 AS MATERIALIZED (SELECT host, max(t0) AS t0, max(d0) AS d0, host IN (SELECT src FROM e) AS has_out, host IN (SELECT dst FROM e) AS has_in, max(t0) AS t, 1.0::DOUBLE AS u, max(d0) AS d, 1.0::DOUBLE AS v, 0.0::DOUBLE AS t1, 0.0::DOUBLE AS u1, 0.0::DOUBLE AS d1, 0.0::DOUBLE AS v1 FROM s0 GROUP BY host)",
     ]
     for i in range(ROUNDS):
-        parts.append(f"""r{i + 1} AS MATERIALIZED (SELECT s.host,
-            {STAY} * t0 + (1 - {STAY}) * CASE WHEN has_in THEN coalesce((SELECT sum(fw * r.t) FROM e JOIN r{i} r ON r.host = e.src WHERE e.dst = s.host), 0) ELSE o.t END AS t,
-            {STAY} * d0 + (1 - {STAY}) * CASE WHEN has_out THEN coalesce((SELECT sum(bw * r.d) FROM e JOIN r{i} r ON r.host = e.dst WHERE e.src = s.host), 0) ELSE o.d END AS d
-            FROM s JOIN r{i} o ON o.host = s.host)""")
-    return f"WITH {', '.join(parts)} SELECT page_id, m.host, path, rule, coalesce(rule_verdict, CASE WHEN round(coalesce(d, 0) - coalesce(t, 0), 9) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM m LEFT JOIN r{ROUNDS} r ON r.host = m.host"
+        again = lambda lost, total: f"({STAY} + CASE WHEN {total} > 0 THEN {1 - STAY} * coalesce({lost}, 0) / {total} ELSE 0 END)"
+        parts.append(f"""m{i} AS MATERIALIZED (SELECT sum(t) FILTER (NOT has_out) AS lt, sum(u) FILTER (NOT has_out) AS lu, sum(d) FILTER (NOT has_in) AS ld,
+            sum(v) FILTER (NOT has_in) AS lv, sum(t0) AS ts, sum(d0) AS ds, count(*) AS n FROM r{i})""")
+        parts.append(f"""r{i + 1} AS MATERIALIZED (SELECT host, t0, d0, has_out, has_in,
+            {again("lt", "ts")} * t0 + {1 - STAY} * coalesce(f1, 0) AS t, {again("lu", "n")} + {1 - STAY} * coalesce(f2, 0) AS u,
+            {again("ld", "ds")} * d0 + {1 - STAY} * coalesce(b1, 0) AS d, {again("lv", "n")} + {1 - STAY} * coalesce(b2, 0) AS v,
+            coalesce(f1, 0) AS t1, coalesce(f2, 0) AS u1, coalesce(b1, 0) AS d1, coalesce(b2, 0) AS v1
+            FROM r{i} CROSS JOIN m{i}
+            LEFT JOIN (SELECT dst AS host, sum(fw * t) AS f1, sum(fw * u) AS f2 FROM e JOIN r{i} ON host = src GROUP BY dst) USING (host)
+            LEFT JOIN (SELECT src AS host, sum(bw * d) AS b1, sum(bw * v) AS b2 FROM e JOIN r{i} ON host = dst GROUP BY src) USING (host))""")
+    share = lambda seed, part, whole: f"greatest({seed}, least(1, CASE WHEN {whole} > 0 THEN {part} / {whole} ELSE 0 END))"
+    parts.append(f"r AS (SELECT host, {share('t0', 't1', 'u1')} AS trust, {share('d0', 'd1', 'v1')} AS distrust FROM r{ROUNDS})")
+    low = f"round(coalesce(distrust, 0) - coalesce(trust, 0), 9) >= {THRESHOLD}"
+    return f"WITH {', '.join(parts)} SELECT page_id, m.host, path, rule, coalesce(rule_verdict, CASE WHEN {low} THEN 'block' ELSE 'allow' END) AS verdict FROM m LEFT JOIN r ON r.host = m.host"
 
 
 _WORDS = r"regexp_extract_all(translate(text, " + _LOW + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
