@@ -180,6 +180,25 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert {tuple(sorted(r["scanned"])) for r in fresh} == {("hex@2",), ("access@1", "assign@1", "hex@2")}
 
 
+def test_many_matches_take_linear_time(spark, tmp_path):
+    n = 100_000
+    df = spark.createDataFrame([(1, "token=abcdef " * n), (2, "x")], "path long, text string")
+    out = secretscan.scan(df, str(tmp_path / "ledger")).where("path = 1")
+    row = out.select(F.size("findings").alias("n"), F.element_at("findings", -1)["at"].alias("last"), F.element_at("findings", 65)["end"].alias("end")).first()
+    assert tuple(row) == (n, 13 * (n - 1), 13 * 64 + 12)
+
+
+def test_a_hot_blob_and_many_unseen_ones(spark, tmp_path, monkeypatch):
+    h = "0a1b2c3d" * 4
+    df = spark.createDataFrame([(i, f"{h} {i % 5 if i % 3 else 0}", "b") for i in range(60)], "path long, text string, blob string")
+    secretscan.scan(df.where("path < 2"), str(tmp_path / "ledger"))
+    monkeypatch.setattr(secretscan, "SMALL", 0)
+    out = secretscan.scan(df, str(tmp_path / "ledger"))
+    assert out.columns == ["path", "blob", "findings"]
+    assert sorted((r["path"], len(r["findings"])) for r in out.collect()) == [(i, 1) for i in range(60)]
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 5
+
+
 # --- top-k ----------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +67,9 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = secretscan.scan(docs, f"{shared_dir(spark)}/tables/ledger-{uuid.uuid4().hex}")
+    # one ledger for each corpus: a second run over it scans what is new
+    corpus = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    out = secretscan.scan(docs, f"{shared_dir(spark)}/ledgers/{corpus}")
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = secretscan.rendered(F.col("findings"))
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))

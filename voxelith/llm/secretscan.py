@@ -5,11 +5,12 @@ the text.  The ledger, a Parquet table that only grows, holds each scanned blob
 with the rule versions it was scanned under and what they found.  A run scans
 only pairs of blob and rule version that the ledger lacks (a text that occurs a
 million times is scanned once, a rule that changed is rerun alone) and joins
-findings back to all paths.
+findings back to all paths.  Texts whose blob the ledger already has are hashed, not moved.
 
 Spans come from ``split`` and ``regexp_extract_all`` with one pattern: the
 lengths of the parts between matches and of the matches add up to offsets in
-code points.
+code points.  Arrays grow by copying, so the sums are windows over one row for each
+match of a text, linear in the number of matches.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, replaced
+from .common import fresh, join_hot, materialise, replaced
+
+#: Unseen blobs up to which their addresses (32 bytes each) are sent to the executors.
+SMALL = 500_000
 
 
 @dataclass(frozen=True)
@@ -55,41 +59,52 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
 
 
-def _spans(text: Column, rule: ScanRule, rank: int) -> Column:
-    """All kept matches of one rule as an array of (start, rank, kind, end)."""
+PART = "array<struct<rank:int,nth:int,gap:int,whole:int,kept:boolean>>"
+
+
+def _parts(text: Column, rule: ScanRule, rank: int) -> Column:
+    """Each match of one rule in order: what lies before it since the last one, its length, and whether it is kept."""
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     wholes = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
     checked = wholes if rule.group == 0 else F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length)
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(wholes)).alias("gap"), wholes.alias("whole"), checked.alias("checked"))
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(wholes)).alias("gap"), wholes.alias("whole"), checked.alias("checked"))
+    one = lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("nth"), x["gap"].alias("gap"), x["whole"].alias("whole"), (x["checked"] >= rule.least).alias("kept"))
+    return F.transform(zipped, one).cast(PART)
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        one = F.array(F.struct(at.alias("at"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (at + x["whole"]).alias("end")))
-        found = F.when(x["checked"] >= rule.least, F.concat(acc["found"], one.cast(FINDING))).otherwise(acc["found"])
-        return F.struct((at + x["whole"]).alias("at"), found.alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(FINDING).alias("found"))
-    return F.aggregate(parts, zero, step, lambda acc: acc["found"])
+def unseen(versions: DataFrame, ledger: DataFrame | None, rules: Sequence[ScanRule], text: str = "text", blobs: DataFrame | None = None) -> DataFrame:
+    """``(blob, text, seen)``: each blob with a rule version that it was not scanned under, once.
 
-
-def unseen(versions: DataFrame, ledger: DataFrame | None, rules: Sequence[ScanRule], text: str = "text") -> DataFrame:
-    """``(blob, text, seen)``: each blob with a rule version that it was not scanned under, once."""
+    ``blobs(blob)`` are the addresses of the versions, if they are known already.  Where at most ``SMALL`` blobs
+    are unseen, their addresses are broadcast, so that no other text is shuffled; more are joined.
+    """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    blobs = versions.select(blob_of(F.col(text)).alias("blob"), content.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    texts = versions.select(blob_of(F.col(text)).alias("blob"), content.alias("text"))
     none = F.array().cast("array<string>")
     if ledger is None:
-        return blobs.withColumn("seen", none)
+        return texts.groupBy("blob").agg(F.first("text").alias("text")).withColumn("seen", none)
     seen = ledger.select("blob", F.explode("scanned").alias("key")).groupBy("blob").agg(F.collect_set("key").alias("seen"))
     keys = F.array(*(F.lit(r.key) for r in rules))
-    return blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", none)).where(F.size(F.array_except(keys, F.col("seen"))) > 0)
+    found = (texts if blobs is None else blobs).select("blob").distinct().join(seen, "blob", "left")
+    todo = found.withColumn("seen", F.coalesce("seen", none)).where(F.size(F.array_except(keys, F.col("seen"))) > 0)
+    todo, _ = materialise(todo, "unseen")
+    few = F.broadcast(todo) if todo.count() <= SMALL else todo
+    return texts.join(few.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text")).join(few, "blob")
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[ScanRule]) -> DataFrame:
     """``(blob, scanned, findings)`` for blobs with text and the rule versions seen before."""
     todo = [~F.array_contains("seen", r.key) for r in rules]
-    hits = [F.when(t & F.col("text").rlike(r.pattern), _spans(F.col("text"), r, i)).otherwise(F.array().cast(FINDING)) for i, (t, r) in enumerate(zip(todo, rules, strict=True))]
+    hits = [F.when(t & F.col("text").rlike(r.pattern), _parts(F.col("text"), r, i)).otherwise(F.array().cast(PART)) for i, (t, r) in enumerate(zip(todo, rules, strict=True))]
     scanned = F.array_except(F.array(*(F.lit(r.key) for r in rules)), F.col("seen"))
-    return blobs.select("blob", scanned.alias("scanned"), F.array_sort(F.concat(*hits)).alias("findings"))
+    found, _ = materialise(blobs.select("blob", scanned.alias("scanned"), F.concat(*hits).alias("parts")), "matches")
+    clean = found.where(F.size("parts") == 0).select("blob", "scanned", F.array().cast(FINDING).alias("findings"))
+    end = F.sum(F.col("gap") + F.col("whole")).over(Window.partitionBy("blob", "rank").orderBy("nth")).cast("int")
+    rows = found.select("blob", "scanned", F.inline("parts")).withColumn("end", end)
+    kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("rank") + 1)
+    one = F.when(F.col("kept"), F.struct((F.col("end") - F.col("whole")).alias("at"), "rank", kind.alias("kind"), "end"))
+    some = rows.groupBy("blob").agg(F.first("scanned").alias("scanned"), F.array_sort(F.collect_list(one)).cast(FINDING).alias("findings"))
+    return clean.unionByName(some)
 
 
 def scan(versions: DataFrame, ledger_path: str, rules: Sequence[ScanRule] = BASE_RULES, text: str = "text") -> DataFrame:
@@ -105,22 +120,28 @@ def scan(versions: DataFrame, ledger_path: str, rules: Sequence[ScanRule] = BASE
     spark = versions.sparkSession
     if len({r.kind for r in rules}) != len(rules):
         raise ValueError("one rule for each kind")
-    known = spark.read.schema(T._parse_datatype_string(LEDGER)).parquet(ledger_path) if _exists(spark, ledger_path) else None
-    scan_blobs(unseen(versions, known, rules, text), rules).write.mode("append").parquet(ledger_path)
-    ledger = spark.read.schema(T._parse_datatype_string(LEDGER)).parquet(ledger_path)
-    return findings(versions, ledger, rules, text)
+    kind = T._parse_datatype_string(LEDGER)
+    marked = addressed(versions, text)
+    known = spark.read.schema(kind).parquet(ledger_path) if _exists(spark, ledger_path) else None
+    scan_blobs(unseen(versions, known, rules, text, marked.select(F.col(marked.columns[-1]).alias("blob"))), rules).write.mode("append").parquet(ledger_path)
+    return findings(marked, spark.read.schema(kind).parquet(ledger_path), rules)
 
 
-def findings(versions: DataFrame, ledger: DataFrame, rules: Sequence[ScanRule] = BASE_RULES, text: str = "text") -> DataFrame:
-    """Join the ledger's findings under the given rule versions back to all paths."""
-    current = ledger.select("blob", "scanned", F.explode("findings").alias("f"))
-    mine = F.array_contains("scanned", F.concat(F.col("f.kind"), F.lit("@"), F.create_map(*(F.lit(x) for r in rules for x in (r.kind, str(r.version))))[F.col("f.kind")]))
-    current = current.where(mine).groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings"))
+def addressed(versions: DataFrame, text: str = "text") -> DataFrame:
+    """A stored table of the versions' columns without text and ``findings``, and last their blob."""
     keep = [c for c in replaced(versions, "findings").columns if c != text]
-    key = fresh(versions, "blob")
-    marked = versions.select(*keep, blob_of(F.col(text)).alias(key))
-    joined = marked.join(current.withColumnRenamed("blob", key), key, "left")
-    return joined.select(*keep, F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
+    return materialise(versions.select(*(F.col(f"`{c}`") for c in keep), blob_of(F.col(text)).alias(fresh(versions, "blob"))), "addressed")[0]
+
+
+def findings(marked: DataFrame, ledger: DataFrame, rules: Sequence[ScanRule] = BASE_RULES) -> DataFrame:
+    """Join the ledger's findings under the given rule versions back to all paths of an ``addressed`` table."""
+    *keep, key = marked.columns
+    current = ledger.select("blob", "scanned", F.explode("findings").alias("f"))
+    version = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, str(r.version))))[F.col("f.kind")]
+    mine = F.array_contains("scanned", F.concat(F.col("f.kind"), F.lit("@"), version))
+    current = current.where(mine).groupBy(F.col("blob").alias(key)).agg(F.array_sort(F.collect_set("f")).alias("findings"))
+    joined = join_hot(marked, current, key)
+    return joined.select(*(F.col(f"`{c}`") for c in keep), F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 
 def _exists(spark, path: str) -> bool:
