@@ -44,16 +44,23 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
-def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """The frame itself, after limiting the session's Arrow batches, so that Python holds few texts at once."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, rows)
+def bounded_batches(df: DataFrame, rows: int = 512, size: int = 16 << 20) -> DataFrame:
+    """The frame itself, after limiting the session's Arrow batches, so that Python holds few texts at once.
+
+    A batch ends at ``rows`` rows or ``size`` bytes (a longer text is alone).  Spark reads both settings when it plans a
+    query, so they stay set for the session; a session that asks for less keeps its own.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(name).rstrip("bB")
+        if not now.isdecimal() or not 0 < int(now) <= most:
+            conf.set(name, most)
     return df
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
-    """Left join of ``big``, whose keys may be very unequal, with ``small``, which has one row a key.
+def join_hot(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | None = None, how: str = "left") -> DataFrame:
+    """Left (or inner) join of ``big``, whose keys may be very unequal, with ``small``, which has one row a key.
 
     Keys that hold over one in ``HOT_SHARE`` of ``big``'s rows are fewer than ``HOT_SHARE``, whatever the
     input, so their rows of ``small`` are broadcast and theirs of ``big`` stay where they are; all others
@@ -65,7 +72,7 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, counts: DataFrame | Non
     total = big.count()
     hot = [r[0] for r in counts.where((F.col("n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(key).collect()]
     if not hot:
-        return big.join(small, key, "left")
+        return big.join(small, key, how)
     known = F.col(key).isin(hot)
-    near = big.where(known).join(F.broadcast(small.where(known)), key, "left")
-    return near.unionByName(big.where(known.isNull() | ~known).join(small, key, "left"))
+    near = big.where(known).join(F.broadcast(small.where(known)), key, how)
+    return near.unionByName(big.where(known.isNull() | ~known).join(small, key, how))

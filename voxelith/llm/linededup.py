@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fresh, materialise, replaced
+from .common import bounded_batches, discard, fresh, join_hot, materialise, replaced
 from .textkit import NON_SPACE, Words, mix, ngrams
 from .textkit import batches as runs_of
 
@@ -80,7 +80,8 @@ class Lines:
             return
         breaks = np.flatnonzero(w.plain == 10)
         ends = _SENTENCE_END[w.plain[w.ends - 1]]
-        ends[:-1] |= np.searchsorted(breaks, w.starts[1:]) > np.searchsorted(breaks, w.ends[:-1])
+        before = np.searchsorted(w.starts, breaks) - 1  # the word that each break follows
+        ends[before[before >= 0]] = True
         ends[:-1] |= w.text[1:] != w.text[:-1]
         ends = _winnowed(w.hashes, w.text, ends)
         first = np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
@@ -171,15 +172,14 @@ def deletions(owner: np.ndarray, theirs: np.ndarray, mine: np.ndarray, min_words
     return out
 
 
-def without(raw: bytes, gone: dict[int, int]) -> tuple[bytes, int]:
+def without(raw: bytes, gone: dict[int, int], starts: np.ndarray, keys: np.ndarray) -> tuple[bytes, int]:
     """The text without the given lines (place to line-pair hash), and how many went.
 
+    ``starts`` and ``keys`` are the first byte and the line-pair hash of each of the text's lines.
     A line goes only if its pair's hash, or that of the pair before it, is the expected one, so
     rows that share an id but not a text can't lose each other's lines.
     """
-    cut = Lines([raw])
-    keys, _ = cut.pairs()
-    starts = cut.start.copy()
+    starts = starts.copy()
     starts[:1] = 0
     ends = np.concatenate([starts[1:], [len(raw)]])
     drop = [p for p in gone if p < len(keys) and gone[p] in (int(keys[p]), int(keys[p - 1]) if p else None)]
@@ -215,9 +215,9 @@ def shared_lines(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, li
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[at + cut.text]), pa.array(places)], names=["key", "doc", "place"])
 
     found, path = materialise(bounded_batches(rows).mapInArrow(run, "key long, doc long, place long"), "lines")
-    first = found.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("theirs"))
+    first = found.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("theirs"), F.count("*").alias("n"))
     first, owners = materialise_alone(first.where("owner < last").drop("last"), "owners")
-    later = found.join(first, "key").where("doc <> owner")
+    later = join_hot(found, first.drop("n"), "key", first, "inner").where("doc <> owner")
     return later.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("owner", "theirs", F.col("place").alias("mine"), "key")).alias("shared")), [path, owners]
 
 
@@ -261,13 +261,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raws, plans = b.column(place).cast(pa.large_binary()).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            n = np.concatenate([np.diff(Lines(part).cuts) for _, part in runs_of(raws)]) if counts and raws else []
-            gone_n = [0] * len(raws)
-            for i, x in enumerate(plans):
-                if x and raws[i] is not None:
-                    raws[i], gone_n[i] = without(raws[i], {g["place"]: g["key"] for g in x})
+            n, gone_n = [], [0] * len(raws)
+            for at, part in runs_of([raw if counts or plan else None for raw, plan in zip(raws, plans, strict=True)]):
+                cut = Lines(part)
+                keys, _ = cut.pairs()
+                n += np.diff(cut.cuts).tolist()
+                for t, raw in enumerate(part):
+                    if raw is not None and plans[at + t]:
+                        mine = slice(int(cut.cuts[t]), int(cut.cuts[t + 1]))
+                        gone = {g["place"]: g["key"] for g in plans[at + t]}
+                        raws[at + t], gone_n[at + t] = without(raw, gone, cut.start[mine] - cut.bytes_from[t], keys[mine])
             cols = [*b.columns[:-1]]
-            cols[place] = pa.array(raws, pa.binary()).cast(pa.string())
+            texts = pa.array(raws, pa.large_binary()).cast(pa.large_string())
+            cols[place] = texts if b.column(place).type == pa.large_string() else texts.cast(pa.string())
             yield pa.RecordBatch.from_arrays(cols + [pa.array(n, pa.int64()), pa.array(gone_n, pa.int64())] * bool(counts), names=[*names, *extra])
 
     return joined.mapInArrow(apply, schema.schema)
