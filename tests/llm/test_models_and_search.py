@@ -226,6 +226,12 @@ def test_topk_against_brute_force(spark):
     assert topk.topk(df.limit(0), df).count() == 0 and topk.topk(df, df.limit(0)).count() == 0
 
 
+def test_scores_beyond_long_are_the_nearest_long():
+    big = np.array([[1 << 60] * 8, [-(1 << 60)] * 8, [1] * 8])
+    assert topk.Block(np.arange(3), big).search(9, np.full(8, 1 << 40), 3, []) == [(-topk.LONG, 0), (-(8 << 40), 2), (topk.LONG + 1, 1)]
+    assert topk.Block(np.arange(2), np.array([[3], [5]])).search(9, np.array([2]), 1, [(-11, 4)]) == [(-11, 4)]
+
+
 def test_threshold_search_stops_early():
     rng = np.random.default_rng(1)
     x = rng.integers(-50, 50, (4000, 3))

@@ -43,6 +43,9 @@ def matrix(lists) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return [(int(w), at := np.flatnonzero(widths == w), flat[offsets[at][:, None] + np.arange(w)]) for w in np.unique(widths)]
 
 
+LONG = (1 << 63) - 1
+
+
 class Block:
     """Candidates of one width, sorted along each dimension."""
 
@@ -52,18 +55,29 @@ class Block:
         new = np.ones(len(ids), bool)
         new[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)  # repeated rows count once
         self.ids, self.x = ids[new], x[new]
-        self.most = int(np.abs(self.x).max(initial=0))
+        self.most = max(abs(int(self.x.min(initial=0))), abs(int(self.x.max(initial=0))))
         self.exact = self.x.astype(np.float64)  # products stay whole below 2**53
+        self.low, self.high = (f(self.x, axis=0, initial=0) for f in (np.min, np.max))
         self.lists = np.argsort(self.x, axis=0, kind="stable").astype(np.int32)
 
     def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if self.most * int(np.abs(q).max(initial=0)) * max(1, len(q)) < 1 << 53:
+        """Integer inner products; those beyond the range of a long are the nearest long."""
+        most = self.most * max(map(abs, q.tolist()), default=0) * max(1, len(q))
+        if most < 1 << 53:
             return (self.exact[rows] @ q.astype(np.float64)).astype(np.int64)
-        return self.x[rows] @ q
+        if most < 1 << 63:
+            return self.x[rows] @ q
+        return np.array([min(LONG, max(-LONG - 1, v)) for v in (self.x[rows].astype(object) @ q.astype(object)).tolist()], np.int64)
+
+    def bound(self, q: np.ndarray) -> int:
+        """No row scores more: the best value of each dimension (zero at least, where a block is on one side of it)."""
+        return min(LONG, sum(max(a * int(x), b * int(x)) for a, b, x in zip(self.low.tolist(), self.high.tolist(), q.tolist(), strict=True)))
 
     def search(self, own: int, q: np.ndarray, k: int, best: list[tuple[int, int]], first: int = 16) -> list[tuple[int, int]]:
         """Merge this block into ``best``, pairs of (-score, id) in order."""
         n = len(self.ids)
+        if len(best) == k and self.bound(q) < -best[-1][0]:
+            return best
         dims = np.flatnonzero(q)
         if not len(dims):  # every score is zero: smallest ids win
             return sorted(set(best) | {(0, i) for i in np.unique(self.ids[self.ids != own])[:k].tolist()})[:k]
@@ -87,19 +101,20 @@ class Block:
                     new, s = new[pick], s[pick]
                 best = sorted({*best, *((-v, i) for v, i in zip(s.tolist(), self.ids[new].tolist(), strict=True))})[:k]
             front = self.x[rows[-1], dims]
-            bound = sum(int(a) * int(b) for a, b in zip(front.tolist(), q[dims].tolist(), strict=True))
+            bound = min(LONG, max(-LONG - 1, sum(a * b for a, b in zip(front.tolist(), q[dims].tolist(), strict=True))))
             if len(best) == k and bound < -best[-1][0]:
                 break
             depth, step = end, step * 2
         return best
 
 
-def topk(queries: DataFrame, candidates: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024, query_block: int = 1024, block: int = 8192, salts: int = 32) -> DataFrame:
+def topk(queries: DataFrame, candidates: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 1024, query_block: int = 4096, block: int = 8192, salts: int = 32) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k largest integer inner products, ties to the smaller id.
 
     A candidate with the query's own id is left out, and vectors of another
     width than the query's don't compare.  Ids are whole numbers; rows with a null
-    id take no part.  Rows that repeat an id and vector count once.
+    id take no part.  Rows that repeat an id and vector count once.  Scores beyond the range of a long are
+    the nearest long, and tie there.  Other columns play no part; empty tables give no rows.
     """
     clean = lambda df: integral(df.select(F.col(vec_id).cast("long").alias(vec_id), vector).where(F.col(vec_id).isNotNull()), vector, scale)
     asked, _ = materialise(clean(queries), "queries")
@@ -125,6 +140,12 @@ def topk(queries: DataFrame, candidates: DataFrame, k: int = 10, vec_id: str = "
     stored = clean(candidates).mapInArrow(gather, "salt int, ids array<long>, vectors array<array<long>>")
     met = stored.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qb")).join(asked.hint("shuffle_hash"), ["qb", "salt"])
 
+    def results(best: dict) -> Iterator[pa.RecordBatch]:
+        rows = [(own, i, -s) for (own, _), found in best.items() for s, i in found]
+        for at in range(0, len(rows), 50_000):
+            cols = list(zip(*rows[at : at + 50_000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
         for b in batches:
@@ -138,10 +159,10 @@ def topk(queries: DataFrame, candidates: DataFrame, k: int = 10, vec_id: str = "
                         for own, q in zip(qids[at].tolist(), x, strict=True):
                             key = (own, q.tobytes())
                             best[key] = parts[w].search(own, q, k, best.get(key, []))
-        rows = [(own, i, -s) for (own, _), found in best.items() for s, i in found]
-        for at in range(0, len(rows), 50_000):
-            cols = list(zip(*rows[at : at + 50_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+                if len(best) > 4 * query_block:  # what a task keeps is bounded; the final rank is over all results
+                    yield from results(best)
+                    best = {}
+        yield from results(best)
 
     found = met.select("ids", "vectors", "queries").mapInArrow(search, "query_id long, vec_id long, score long").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
