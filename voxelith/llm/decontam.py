@@ -9,9 +9,9 @@ reaches ``span`` words.  Items of fewer words than ``span`` are one window of
 their own length and are looked up by exact n-gram.
 
 The benchmark's index is sent to the executors in blocks of at most
-``block_words`` words (a bounded broadcast, a dozen MB); a larger benchmark
-takes more passes over the documents, whose hits are united per document.  The
-documents themselves never move.
+``block_words`` words (a bounded broadcast; the driver holds one block at a time).  A
+larger benchmark takes more passes over the documents, each of which writes them with
+the hits so far.  The documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, replaced
+from .common import bounded_batches, discard, fresh, materialise, replaced
 from .textkit import ALNUM, Words, ngrams, winnow
 from .textkit import batches as runs_of
 
@@ -135,7 +135,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, span: int, k: int, bl
     yield Index(block, span, k)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_words: int = 4_000_000, into: str = "contamination") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 10, k: int = 5, block_words: int = 1_000_000, into: str = "contamination") -> DataFrame:
     """``docs`` with a struct ``(n_words long, runs array<struct<start,end>>, items array<string>)``.
 
     A null or empty text has no words and no hits; a null item has none either.
@@ -152,8 +152,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     names = [*docs.columns, into]
 
-    def scan(index: Index, first: bool):
+    def scan(sent, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = sent.value
             for b in batches:
                 found = []
                 raws = b.column(at).cast(pa.large_binary()).to_pylist()
@@ -169,10 +170,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         return run
 
-    out, first = bounded_batches(docs), True
-    for index in _blocks(benchmark, item_id, item_text, span, k, block_words):
-        out = out.mapInArrow(scan(index, first), schema)
-        first = False
+    out, path = bounded_batches(docs), None
+    context = docs.sparkSession.sparkContext
+    for n, index in enumerate(_blocks(benchmark, item_id, item_text, span, k, block_words)):
+        if n:  # a pass is over before the next block comes to the driver
+            done, after = materialise(out, "hits")
+            if path:
+                discard(docs.sparkSession, path)
+            out, path = done, after
+        out = out.mapInArrow(scan(context.broadcast(index), not n), schema)
     return out
 
 
