@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelith.llm import decontam, linededup, packing, simhash, toxicity
-from voxelith.llm.common import doc_crc, materialise, read
+from voxelith.llm.common import discard, doc_crc, materialise, read
 from voxelith.llm.queries import tokenizer_path
 
 
@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """Packed pieces of ``documents``; each stage's table goes once the next one is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = materialise(stage(spark, docs, sf_dir), name)
+        docs, path = materialise(stage(spark, docs, sf_dir), name)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
