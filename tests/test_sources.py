@@ -71,11 +71,12 @@ def test_decoding(spark):
 
 
 def gap_case(spark, positions, instances=None):
-    rows = [(1, n, float(p), float((instances or range(len(positions)))[n]), n) for n, p in enumerate(positions)]
+    positions = [None if p is None else float(p) for p in positions]
+    rows = [(1, n, p, float((instances or range(len(positions)))[n]), n) for n, p in enumerate(positions)]
     return Se.gaps(spark.createDataFrame(rows, "series_id int, ord int, position double, instance double, read_idx int"))
 
 
-@pytest.mark.parametrize("positions,missing,duplicates,basis,spacing", [([0, 0.5, 1, 2, 2.5, 3], 1, 0, "fit", 0.5), ([0, 0.5, 0.5, 1, 1.5], 0, 1, "span", 0.375), ([0, 1, 2, 5, 6], 2, 0, "fit", 1.0), ([0, 1, 2], 0, 0, "span", 1.0), ([3, 3, 3], 0, 2, "tag", None), ([1], 0, 0, "tag", None)])
+@pytest.mark.parametrize("positions,missing,duplicates,basis,spacing", [([0, 0.5, 1, 2, 2.5, 3], 1, 0, "fit", 0.5), ([0, 0.5, 0.5, 1, 1.5], 0, 1, "span", 0.375), ([0, 1, 2, 5, 6], 2, 0, "fit", 1.0), ([0, 1, 2], 0, 0, "span", 1.0), ([3, 3, 3], 0, 2, "tag", None), ([1], 0, 0, "tag", None), ([None, None], 0, 0, "none", None), ([1, 3, None], 0, 0, "first-gap", 2.0), ([1, None, 2], 0, 0, "tag", None)])
 def test_gaps(spark, positions, missing, duplicates, basis, spacing):
     r = Se.spacing(gap_case(spark, positions)).first()
     assert (r["missing"], r["duplicates"], r["basis"]) == (missing, duplicates, basis)

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelith.functions import display as Di
 from voxelith.functions import scalar as S
 from voxelith.operators import components as C
 from voxelith.operators import geometry as G
+from voxelith.operators import hist as H
 from voxelith.operators import kernels as K
 from voxelith.operators import mesh as Me
 from voxelith.operators import morphology as M
@@ -105,8 +107,8 @@ def test_components(noise, spark):
         want = sorted(np.unique(flood(m), return_counts=True)[1][1:].tolist())
         assert sorted(r["voxels"] for r in C.sizes(lab).where(F.col("series_id") == s).collect()) == want
     assert (mask_of(C.at_least(ra, grids, 4), a.shape) == np.isin(flood(a), [n for n, c in zip(*np.unique(flood(a), return_counts=True), strict=True) if n and c >= 4])).all()
-    by_rounds = C.label(ra, grids, local_edges=0)
-    assert by_rounds.exceptAll(lab).count() == 0 and by_rounds.count() == lab.count()
+    by_slabs = C.label(ra, grids, slab=2)
+    assert by_slabs.exceptAll(lab).count() == 0 and by_slabs.count() == lab.count()
     outside = flood(~a)
     rim = np.ones(a.shape, bool)
     rim[1:-1, 1:-1, 1:-1] = False
@@ -120,6 +122,41 @@ def test_components(noise, spark):
     assert C.label(ra.limit(0), grids).count() == 0
 
 
+def test_exterior_air(noise):
+    a, _, ra, _, grids = noise
+    want = np.zeros(a.shape, bool)
+    for k in range(len(a)):
+        plane = flood(a[k : k + 1])[0]
+        rim = np.ones(plane.shape, bool)
+        rim[1:-1, 1:-1] = False
+        want[k] = a[k] & np.isin(plane, np.unique(plane[rim & a[k]]))
+    assert (mask_of(C.exterior_air(ra, grids), a.shape) == want).all()
+
+
+def test_lines_process_statistics_and_extents(spark):
+    lines = spark.createDataFrame([(0, 1, 10.0), (0, 2, 14.0), (0, 3, 30.0), (1, 1, 50.0)], "series_id int, line int, at double")
+    assert [tuple(r) for r in H.nearest_line(lines, F.lit(12.0)).collect()] == [(0, 1)]
+    runs = lambda *x: spark.createDataFrame([(0, 0, 0, *r) for r in x], RUN)
+    got = H.process_stats(runs((0, 9)), runs((0, 4), (8, 9)), runs((3, 8)), 100).first()
+    assert tuple(got) == (0, 10, 7, 6, 3, 100)
+    row = spark.range(1).select(
+        H.volume_mm3(F.lit(8), F.lit(0.5), F.lit(2.0)).alias("mm3"), H.volume_mm3(F.lit(8), F.lit(0.0)).alias("none"),
+        Di.oversize(Di.extents_mm([F.lit(n) for n in (10, 20, 400)], [F.lit(1.0)] * 3)).alias("over"), Di.extents_mm([F.lit(1)] * 3, [F.lit(1.0), F.lit(None).cast("double"), F.lit(1.0)]).alias("unknown"),
+    ).first()
+    assert tuple(row) == (8.0, None, True, None)
+
+
+def test_exclusive_ranges_leave_no_float_to_two():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        segs = [Sg.Segment(str(n), *sorted(rng.integers(-20, 20, 2).tolist())) for n in range(5)]
+        found = [e for e in Sg.exclusive_ranges(segs).values() if not e.empty]
+        for x in np.arange(-21, 21, 0.5):
+            assert sum(e.low <= x <= e.high for e in found) <= 1
+        for s, e in zip(segs, Sg.exclusive_ranges(segs).values(), strict=True):
+            assert e.empty or s.low <= e.low <= e.high <= s.high
+
+
 def cross(m, grow):
     p = np.pad(m, 1, constant_values=False)
     parts = [p[1:-1, 1:-1, 1:-1], *K.six(p)]

@@ -92,3 +92,17 @@ def ray_sphere(o, d, c, radius: float) -> Column:
     disc = b * b - dot(r, r) + radius * radius
     near = -b - F.sqrt(F.greatest(disc, F.lit(0.0)))
     return F.when((disc >= 0) & (near > 0), near)
+
+
+#: Fixed value: a volume longer than this (mm) is shown reduced.
+OVERSIZE_MM = 300.0
+
+
+def extents_mm(dims: list[Column], spacing: list[Column]) -> Column:
+    """Physical size along x, y and z; null unless all three are known, finite and positive."""
+    sizes = F.array(*((d * s).cast("double") for d, s in zip(dims, spacing, strict=True)))
+    return F.when(F.forall(sizes, lambda x: F.coalesce((x > 0) & (x < float("inf")), F.lit(False))), sizes)
+
+
+def oversize(extents: Column) -> Column:
+    return F.coalesce(F.array_max(extents) / 1000 > OVERSIZE_MM / 1000 + 1e-9, F.lit(False))

@@ -9,23 +9,18 @@ Each round is written to the shared folder, which cuts the lineage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shared import discard, materialise
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: int = 0) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(u long, v long)`` -> ``(node, root)`` for every node but the roots.
 
     ``root`` is the smallest node of the component.  Self-loops, repeated edges
     and edges with a null end are allowed and ignored; no edges give no rows.
-    A graph of at most ``local_edges`` distinct edges is solved by one task, larger ones by
-    rounds of star steps; the result is the same.
     """
     spark = edges.sparkSession
     stars = (
@@ -35,8 +30,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: in
     )
     stars, path = materialise(stars, "stars")
     seen = _digest(stars)
-    if 0 < seen[0] <= local_edges:
-        return stars.coalesce(1).mapInPandas(_solve, "node long, root long")
     for _ in range(max_rounds):
         if not seen[0]:
             break
@@ -70,12 +63,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return low.select("u", F.col("m").alias("v")).union(rest).distinct()
 
 
-def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components of a bounded edge list: smallest labels spread along edges, with pointer jumping."""
-    edges = pd.concat(batches)
-    nodes, at = np.unique(edges[["u", "v"]].to_numpy(), return_inverse=True)
-    a, b = at.reshape(-1, 2).T
-    root = np.arange(len(nodes))
+def lowest_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of each of n nodes' components, for a bounded list of edges ``(a, b)`` in one task.
+
+    The smallest label known at either end of an edge goes to both ends' roots, then labels are followed to their end.
+    """
+    root = np.arange(n)
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -84,7 +77,5 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         while (new[new] != new).any():
             new = new[new]
         if (new == root).all():
-            break
+            return root
         root = new
-    other = root != np.arange(len(nodes))
-    yield pd.DataFrame({"node": nodes[other], "root": nodes[root[other]]})

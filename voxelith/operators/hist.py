@@ -73,3 +73,28 @@ def profile_stats(samples: DataFrame, value: Column, *by: str) -> DataFrame:
     exact = s.groupBy(*by).agg(F.count("*").alias("count"), F.avg("hu").alias("mean"), F.stddev_pop("hu").alias("sd"), F.min("hu").alias("min"), F.max("hu").alias("max"))
     binned = stats(histogram(s.withColumn("series_id", F.lit(0)), *by), *by)
     return exact.join(binned.select(*by, *(f"p{p}" for p in PERCENTILES)), list(by))
+
+
+def nearest_line(lines: DataFrame, x: Column, tolerance: float = 6) -> DataFrame:
+    """Per series of ``lines(series_id, line, at)``: the line nearest to ``x`` within the tolerance; of equally near ones the first."""
+    away = F.abs(F.col("at") - x)
+    return lines.where(away <= tolerance).groupBy("series_id").agg(F.min_by("line", F.struct(away, "line")).alias("line"))
+
+
+def process_stats(before: DataFrame, after: DataFrame, body: DataFrame, total: int) -> DataFrame:
+    """Per series: voxels before and after post-processing, of the body, of the result inside the body, and the volume's."""
+    count = lambda runs, name: R.count(runs, "series_id").withColumnRenamed("voxels", name)
+    out = count(before, "before").join(count(after, "after"), "series_id", "full").join(count(body, "body"), "series_id", "full")
+    out = out.join(count(R.intersect(after, body), "inside_body"), "series_id", "full")
+    names = ("before", "after", "body", "inside_body")
+    return out.select("series_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names), F.lit(total).cast("long").alias("total"))
+
+
+def volume_mm3(voxels: Column, *spacing: Column) -> Column:
+    """Null where a spacing is unknown, not finite or not positive."""
+    usable = F.lit(True)
+    out = voxels.cast("double")
+    for s in spacing:
+        usable = usable & F.coalesce((s > 0) & (s < float("inf")), F.lit(False))
+        out = out * s
+    return F.when(usable, out)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +56,16 @@ def closing(runs: DataFrame, grids: DataFrame, radius: int = 1) -> DataFrame:
     return erode(dilate(runs, grids, radius), grids, radius)
 
 
+#: Fixed value: what a reach may miss of a whole voxel by rounding.
+ROUNDING = 1e-9
+
+
 def ball(radius_mm: float, spacing: tuple[float, float, float]) -> list[tuple[int, int, int]]:
-    """Row spans of an ellipsoid of voxels: (dk, dj, x-reach), with a tolerance of 1e-9."""
-    sx, sy, sz = spacing
-    out = []
-    for dk in range(-int(radius_mm / sz + 1e-9), int(radius_mm / sz + 1e-9) + 1):
-        for dj in range(-int(radius_mm / sy + 1e-9), int(radius_mm / sy + 1e-9) + 1):
-            rest = radius_mm**2 - (dk * sz) ** 2 - (dj * sy) ** 2
-            if rest >= -1e-9:
-                out.append((dk, dj, int(math.sqrt(max(0.0, rest)) / sx + 1e-9)))
-    return out
+    """Row spans of an ellipsoid of voxels: (dk, dj, x-reach)."""
+    dj, dk = (np.arange(-n, n + 1) for n in (int(radius_mm / s + ROUNDING) for s in spacing[1:]))
+    left = radius_mm**2 - (dk[:, None] * spacing[2]) ** 2 - (dj[None, :] * spacing[1]) ** 2
+    reach = (np.sqrt(left.clip(min=0)) / spacing[0] + ROUNDING).astype(int)
+    return [(int(dk[z]), int(dj[y]), int(reach[z, y])) for z, y in np.argwhere(left >= -ROUNDING)]
 
 
 def near(runs: DataFrame, grids: DataFrame, radius_mm: float, spacing: tuple[float, float, float]) -> DataFrame:

@@ -14,15 +14,28 @@ from . import morphology as M
 from . import runs as R
 
 
+def _code(x: float, up: bool) -> int:
+    """Place in the order of all 32-bit floats of the first one at or above ``x`` (or the last at or below)."""
+    f = np.float32(x)
+    if up and f < x:
+        f = np.nextafter(f, np.float32(np.inf))
+    elif not up and f > x:
+        f = np.nextafter(f, np.float32(-np.inf))
+    bits = int((f + np.float32(0)).view(np.int32))
+    return bits if bits >= 0 else -(bits & 0x7FFFFFFF)
+
+
+def _value(code: int) -> float:
+    return float(np.int32(abs(code)).view(np.float32)) * (1 if code >= 0 else -1)
+
+
 def above(x: float) -> float:
     """The next 32-bit float."""
-    f = np.float32(x)
-    return float(f if f > x else np.nextafter(f, np.float32(np.inf)))
+    return _value(_code(x, up=False) + 1)
 
 
 def below(x: float) -> float:
-    f = np.float32(x)
-    return float(f if f < x else np.nextafter(f, np.float32(-np.inf)))
+    return _value(_code(x, up=True) - 1)
 
 
 @dataclass(frozen=True)
@@ -59,43 +72,49 @@ class Effective:
     sources: list[str] = field(default_factory=list)
 
 
-def _minus(piece: tuple[float, float], taken: tuple[float, float]) -> list[tuple[float, float]]:
-    (lo, hi), (a, b) = piece, taken
-    if b < lo or a > hi:
-        return [piece]
-    return [(lo, below(a))] * (lo < a) + [(above(b), hi)] * (hi > b)
+def _free_pieces(first: int, last: int, edges: np.ndarray, owned: np.ndarray) -> list[tuple[int, int, slice]]:
+    """Maximal stretches of unowned cells in ``[first, last]``, cell i being ``edges[i]`` to ``edges[i + 1] - 1``."""
+    lo, hi = np.searchsorted(edges, [first, last + 1])
+    change = np.flatnonzero(np.diff(np.concatenate([[True], owned[lo:hi], [True]]))) + lo
+    return [(int(edges[a]), int(edges[b]) - 1, slice(a, b)) for a, b in zip(change[::2], change[1::2], strict=True)]
 
 
 def exclusive_ranges(segments: list[Segment], priority: bool = True) -> dict[str, Effective]:
     """Ranges after higher segments took theirs; ``segments`` from top to bottom.
 
-    Only plain segments take by range.  A lower segment lists in ``sources`` those above whose
-    final voxels must be subtracted from it voxel by voxel: those that are not plain and can meet
-    its range or add voxels, and all active ones if it adds voxels itself.
+    All bounds cut the line of 32-bit floats into cells.  From the top on, each active plain segment comes to own the cells of the piece
+    that it keeps: of what is still free in its range, the piece around the range's middle, or else the
+    longest.  A segment's ``sources`` are those above whose final voxels no range describes, see ``_by_voxel``.
     """
+    codes = [(_code(s.low, up=True), _code(s.high, up=False)) for s in segments]
+    edges = np.unique([x for lo, hi in codes for x in (lo, hi + 1)]).astype(np.int64)
+    owned = np.zeros(max(0, len(edges) - 1), bool)
+    nobody = np.zeros_like(owned)
     out: dict[str, Effective] = {}
-    taken: list[tuple[float, float]] = []
-    upper: list[tuple[Segment, float, float]] = []
-    for s in segments:
-        parts = [(float(s.low), float(s.high))]
-        for t in taken if priority and s.active else ():
-            parts = [q for p in parts for q in _minus(p, t)]
-        if not parts:
+    for s, (first, last) in zip(segments, codes, strict=True):
+        pieces = _free_pieces(first, last, edges, owned if priority and s.active else nobody)
+        spans = [(float(s.low) if lo == first else _value(lo), float(s.high) if hi == last else _value(hi)) for lo, hi, _ in pieces]
+        if not spans:
             out[s.key] = Effective(float(s.low), below(s.low), empty=True)
             continue
         middle = (s.low + s.high) / 2
-        kept = next((p for p in parts if p[0] <= middle <= p[1]), None) or max(parts, key=lambda p: p[1] - p[0])
-        e = out[s.key] = Effective(*kept, dropped=[p for p in parts if p != kept])
-        if not s.active:
-            continue
-        if priority:
-            e.sources = [u.key for u, lo, hi in upper if s.adds or (not u.plain and (u.adds or not (hi < kept[0] or lo > kept[1])))]
-        upper.append((s, *kept))
-        if s.plain:
-            taken.append(kept)
+        best = max(range(len(spans)), key=lambda n: (spans[n][0] <= middle <= spans[n][1], spans[n][1] - spans[n][0], -n))
+        out[s.key] = Effective(*spans[best], dropped=[x for n, x in enumerate(spans) if n != best])
+        if s.active and s.plain:
+            owned[pieces[best][2]] = True
+    live = [s for s in segments if s.active and not out[s.key].empty] if priority else []
+    for n, s in enumerate(live):
+        out[s.key].sources = [u.key for u in live[:n] if _by_voxel(u, out[u.key], s, out[s.key])]
     return out
 
 
+def _by_voxel(upper: Segment, its: Effective, lower: Segment, own: Effective) -> bool:
+    """Whether the final voxels of ``upper`` must be taken from ``lower`` one by one."""
+    if lower.adds or upper.adds:
+        return True
+    return not upper.plain and max(its.low, own.low) <= min(its.high, own.high)
+
+
 def depends_on(ranges: dict[str, Effective], key: str) -> set[str]:
     """Segments that change when ``key`` does: the closure of the sources."""
     out, todo = set(), [key]
@@ -111,7 +130,7 @@ def depends_on(ranges: dict[str, Effective], key: str) -> set[str]:
 def final_runs(voxels: DataFrame, grids: DataFrame, segments: list[Segment], spacing, priority: bool = True, edits: DataFrame | None = None) -> dict[str, DataFrame]:
     """Runs of each active segment: range, minus its sources, post-processing, minus the sources again if it adds, edits.
 
-    Classes of all segments come from one scan; ``edits(segment, kind, series_id, k, j, x0, x1)`` has kinds keep and exclude.
+    Each segment is one scan with its range as a pushed-down filter; ``edits(segment, kind, series_id, k, j, x0, x1)`` has kinds keep and exclude.
     """
     ranges = exclusive_ranges(segments, priority)
     out: dict[str, DataFrame] = {}

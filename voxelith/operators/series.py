@@ -70,10 +70,16 @@ def spacing(classified: DataFrame, key: str = "series_id") -> DataFrame:
     """Per series: counts by kind, median gap, evenness, and the spacing with what it rests on.
 
     Without missing slices the spacing is the whole span over the steps, with missing ones a least-squares
-    slope against the corrected index.  A series of duplicates only has none of its own (``basis`` tag).
+    slope against the corrected index.  A series of duplicates only has none of its own (``basis`` tag), nor has
+    a single slice.  Frames with made-up positions (``synthetic``, if there is such a column) are not judged (frames); without any position
+    the basis is none; with some only, it is the first gap, if both first slices have a position.
     """
     c = classified.withColumn("_at", (F.col("ord") - F.min("ord").over(Window.partitionBy(key)) + F.col("shift")).cast("double"))
     of = lambda k: F.count_if(F.col("kind") == k).cast("long")
+    made = F.coalesce(F.bool_or("synthetic"), F.lit(False)) if "synthetic" in classified.columns else F.lit(False)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("ord"))
+    c = c.withColumn("_nth", nth)
+    early = lambda n: F.max(F.when(F.col("_nth") == n, F.col("position")))
     reg = F.expr("CASE WHEN kind = 'regular' THEN gap END")
     out = c.groupBy(key).agg(
         F.count("*").alias("slices"), of("duplicate").alias("duplicates"), F.sum("missing").cast("long").alias("missing"),
@@ -81,12 +87,14 @@ def spacing(classified: DataFrame, key: str = "series_id") -> DataFrame:
         (F.coalesce(F.max(reg) - F.min(reg), F.lit(0.0))).alias("_range"),
         F.abs(F.regr_slope("position", "_at")).alias("_fit"),
         F.abs(F.max_by("position", "ord") - F.min_by("position", "ord")).alias("_span"),
-        F.max("ref").alias("_ref"),
+        F.max("ref").alias("_ref"), made.alias("_made"), F.count("position").alias("_have"), F.abs(early(2) - early(1)).alias("_first"),
     )
     usable = (F.col("slices") >= 2) & (F.col("_ref") > DUPLICATE_MM)
-    basis = F.when(~F.coalesce(usable, F.lit(False)), "tag").when(F.col("missing") > 0, "fit").otherwise("span")
+    some = F.when(F.col("_first") > DUPLICATE_MM, "first-gap").otherwise("tag")
+    basis = F.when(F.col("slices") < 2, "tag").when(F.col("_made"), "frames").when(F.col("_have") == 0, "none").when(F.col("_have") < F.col("slices"), some)
+    basis = basis.when(~F.coalesce(usable, F.lit(False)), "tag").when(F.col("missing") > 0, "fit").otherwise("span")
     out = out.withColumn("basis", basis)
-    used = F.when(F.col("basis") == "fit", F.col("_fit")).when(F.col("basis") == "span", F.col("_span") / (F.col("slices") - 1))
+    used = F.when(F.col("basis") == "fit", F.col("_fit")).when(F.col("basis") == "span", F.col("_span") / (F.col("slices") - 1)).when(F.col("basis") == "first-gap", F.col("_first"))
     uneven = F.col("_range") > F.greatest(UNEVEN_PART * F.col("median_gap"), F.lit(UNEVEN_MM))
     return out.select(key, "slices", "duplicates", "missing", "median_gap", uneven.alias("uneven"), "basis", used.alias("spacing"))
 

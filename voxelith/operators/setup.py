@@ -96,6 +96,6 @@ def spacing_note(checked: DataFrame) -> DataFrame:
     """What to say about each series' spacing (null where all is well); from ``series.spacing``."""
     mm = F.format_string("%.3f", F.col("spacing"))
     parts = F.array_compact(F.array(F.when(F.col("missing") > 0, F.format_string("%d missing", "missing")), F.when(F.col("duplicates") > 0, F.format_string("%d duplicate", "duplicates")), F.when(F.col("uneven"), F.lit("uneven"))))
-    how = F.when(F.col("basis") == "fit", "gap-corrected fit").when(F.col("basis") == "span", "mean over the span").otherwise("tag")
+    how = F.when(F.col("basis") == "fit", "gap-corrected fit").when(F.col("basis") == "span", "mean over the span").when(F.col("basis") == "first-gap", "first gap").otherwise("tag")
     text = F.concat(F.lit("spacing is inconsistent: "), F.array_join(parts, ", "), F.lit("; using the "), how, F.coalesce(F.concat(F.lit(" of "), mm, F.lit(" mm")), F.lit("")))
     return checked.withColumn("note", F.when(F.size(parts) > 0, text))

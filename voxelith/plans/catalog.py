@@ -154,13 +154,14 @@ def segment_at_voxel(spark, sf_dir):
 _P = [n * s for n, s in zip((10, 10, 10), SPACING, strict=True)]
 
 
-@query(f"SELECT k, j, i, i * 0.5::DOUBLE AS xmm, k * 1.25::DOUBLE AS zmm, {_r4(f'((i + 0.5) * 0.5 - {_P[0] / 2}) * {3.3 / max(_P)}')} AS lx, {_r4(f'-((j + 0.5) * 0.5 - {_P[1] / 2}) * {3.3 / max(_P)}')} AS ly, i::DOUBLE AS back FROM V WHERE k < 10")
+@query(f"SELECT k, j, i, i * 0.5::DOUBLE AS xmm, k * 1.25::DOUBLE AS zmm, {_r4(f'((i + 0.5) * 0.5 - {_P[0] / 2}) * (3.3 / greatest({_P[0]}, d * 1.25::DOUBLE))')} AS lx, {_r4(f'-((j + 0.5) * 0.5 - {_P[1] / 2}) * (3.3 / greatest({_P[0]}, d * 1.25::DOUBLE))')} AS ly, i::DOUBLE AS back FROM V, D")
 def coordinates(spark, sf_dir):
     i, j, k = (F.col(c).cast("double") for c in "ijk")
     mm = S.voxel_to_mm(i, j, k, SPACING)
-    x, y, z = S.voxel_to_local(i, j, k, (10, 10, 10), SPACING)
-    back = S.local_to_voxel(x, y, z, (10, 10, 10), SPACING)[0]
-    return vol(spark, sf_dir).where("k < 10").select("k", "j", "i", mm[0].alias("xmm"), mm[2].alias("zmm"), r4(x).alias("lx"), r4(y).alias("ly"), r4(back).alias("back"))
+    dims = (10, 10, _depth(spark, sf_dir))
+    x, y, z = S.voxel_to_local(i, j, k, dims, SPACING)
+    back = S.local_to_voxel(x, y, z, dims, SPACING)[0]
+    return vol(spark, sf_dir).select("k", "j", "i", mm[0].alias("xmm"), mm[2].alias("zmm"), r4(x).alias("lx"), r4(y).alias("ly"), r4(back).alias("back"))
 
 
 @query("SELECT event_id, user_id::VARCHAR || '-' || event_type AS name, printf('%.2f mm', value) AS mm, substr(regexp_replace(regexp_replace(props, '[^A-Za-z0-9_\\-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60) AS file, replace(replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM events")
@@ -214,9 +215,9 @@ def runs_complement(spark, sf_dir):
     return _rows(R.complement(mask(spark, sf_dir), grid(spark, sf_dir)))
 
 
-@query(f"SELECT k, j, i, hu BETWEEN {LOW} AND {HIGH} AS inside FROM V WHERE (k * 100 + j * 10 + i) % 7 = 0")
+@query(f"SELECT k, j, i, hu BETWEEN {LOW} AND {HIGH} AS inside FROM V")
 def runs_contains(spark, sf_dir):
-    points = vol(spark, sf_dir).where("(k * 100 + j * 10 + i) % 7 = 0").select("series_id", "k", "j", "i")
+    points = vol(spark, sf_dir).select("series_id", "k", "j", "i")
     return R.contains(points, mask(spark, sf_dir)).select("k", "j", "i", "inside")
 
 
@@ -542,11 +543,11 @@ def lasso_points(spark, sf_dir):
     return vol(spark, sf_dir).select("k", "j", "i", G.inside_polygon(F.col("i").cast("double"), F.col("j").cast("double"), _LOOP).alias("inside"))
 
 
-@query("SELECT j * 10 + i AS ray_id, min(k)::DOUBLE AS t FROM V WHERE hu >= -100 AND k < 10 GROUP BY 1")
+@query("SELECT j * 10 + i AS ray_id, min(k)::DOUBLE AS t FROM V WHERE hu >= -100 GROUP BY 1")
 def ray_first_hit(spark, sf_dir):
     """Rays along z through every column; a hit is the first solid voxel."""
-    v = vol(spark, sf_dir).where("k < 10")
-    rays = v.where("k = 0").select((F.col("j") * 10 + F.col("i")).alias("ray_id"), "series_id", F.col("i").cast("double").alias("ox"), F.col("j").cast("double").alias("oy"), F.lit(0.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dz"), F.lit(9.0).alias("reach"))
+    v, reach = vol(spark, sf_dir), float(_depth(spark, sf_dir) - 1)
+    rays = v.where("k = 0").select((F.col("j") * 10 + F.col("i")).alias("ray_id"), "series_id", F.col("i").cast("double").alias("ox"), F.col("j").cast("double").alias("oy"), F.lit(0.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dz"), F.lit(reach).alias("reach"))
     hit = G.first_hit(rays, v, S.at_least(F.col("hu"), -100), step=1.0)
     return hit.where("t is not null").select("ray_id", "t")
 
@@ -674,20 +675,21 @@ def point_changes(spark, sf_dir):
     return N.changes(old, p.where("point_id % 7 <> 0").select(F.col("point_id").alias("id"), (F.col("i") % 2).alias("signature"))).select("id", "change")
 
 
-@query(f"WITH {_V}, {_PT} SELECT q.k AS plane_id, p AS point_id, PT.k = q.k AS exact, abs(PT.k - q.k)::INT AS away FROM PT JOIN (SELECT DISTINCT s, k FROM PT WHERE k % 4 = 0) q ON q.s = PT.s AND abs(PT.k - q.k) <= 3")
+@query(f"WITH {_V}, {_PT} SELECT q.k AS plane_id, p AS point_id, PT.k = q.k AS exact, abs(PT.k - q.k)::INT AS away FROM PT JOIN (SELECT DISTINCT s, k FROM PT) q ON q.s = PT.s AND abs(PT.k - q.k) <= 3")
 def plane_markers(spark, sf_dir):
     p = _points(spark, sf_dir)
-    planes = p.where("k % 4 = 0").select("series_id", "k").distinct().select(F.col("k").cast("long").alias("plane_id"), "series_id", "k")
+    planes = p.select("series_id", "k").distinct().select(F.col("k").cast("long").alias("plane_id"), "series_id", "k")
     return N.markers(p, planes).select("plane_id", "point_id", "exact", F.col("away").cast("int").alias("away"))
 
 
-@query("WITH V AS (SELECT 1), O AS (SELECT 'p' || event_id AS id, event_id AS t FROM events WHERE event_id < 50), NW AS (SELECT 'p' || event_id AS id, CASE WHEN event_id % 2 = 0 THEN event_id + 1000 ELSE event_id END AS t FROM events WHERE event_id BETWEEN 10 AND 59) SELECT id AS point_id, t AS text FROM O UNION ALL SELECT CASE WHEN O.id IS NULL THEN NW.id ELSE NW.id || '_' END, NW.t FROM NW LEFT JOIN O ON O.id = NW.id WHERE O.id IS NULL OR O.t <> NW.t")
+@query("WITH V AS (SELECT 1), O AS (SELECT 'p' || event_id AS id, event_id::DOUBLE AS t FROM events WHERE value < 60), NW AS (SELECT 'p' || event_id AS id, CASE WHEN event_id % 2 = 0 THEN event_id + 0.5 ELSE event_id END::DOUBLE AS t FROM events WHERE value >= 20) SELECT id AS point_id, t AS text FROM O UNION ALL SELECT CASE WHEN O.id IS NULL THEN NW.id ELSE NW.id || '_' END, NW.t FROM NW LEFT JOIN O ON O.id = NW.id WHERE O.id IS NULL OR O.t <> NW.t")
 def merge_points(spark, sf_dir):
-    """Ten to forty-nine come again, the even ones with another text; those are renamed."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 60")
+    """Values of 20 to 60 come twice, events of even numbers with another text; those are renamed."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     name = F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("point_id")
-    old = e.where("event_id < 50").select(name, F.col("event_id").alias("text"))
-    new = e.where("event_id >= 10").select(name, F.when(F.col("event_id") % 2 == 0, F.col("event_id") + 1000).otherwise(F.col("event_id")).alias("text"))
+    text = F.col("event_id").cast("double")
+    old = e.where("value < 60").select(name, text.alias("text"))
+    new = e.where("value >= 20").select(name, F.when(F.col("event_id") % 2 == 0, text + 0.5).otherwise(text).alias("text"))
     return N.merge_points(old, new)[0].select("point_id", "text")
 
 
@@ -707,9 +709,10 @@ def display_values(spark, sf_dir):
     return e.select("event_id", Di.value_step(F.col("value")).alias("step"), Di.digits(F.col("value")).alias("digits"), Di.byte_size(F.col("event_id") * 97).alias("size"), Di.colour(tint).alias("tint"), Di.dark_ink(Di.rgb(tint)).alias("dark"))
 
 
-@query("SELECT k, j, i, floor(avg(hu) * 1e4 + 0.5) / 1e4 AS hu FROM (SELECT floor((k * 4 + 3) / 10)::INT AS k, floor((j * 7 + 6) / 10)::INT AS j, i, hu FROM V WHERE k < 10) GROUP BY 1, 2, 3")
+@query("SELECT k, j, i, floor(avg(hu) * 1e4 + 0.5) / 1e4 AS hu FROM (SELECT floor((k * t + t - 1) / d)::INT AS k, floor((j * 7 + 6) / 10)::INT AS j, i, hu FROM V, (SELECT d, d * 2 // 5 AS t FROM D)) GROUP BY 1, 2, 3")
 def area_average_uneven(spark, sf_dir):
-    return _out(Su.area_average(vol(spark, sf_dir).where("k < 10"), (10, 10, 10), (10, 7, 4)))
+    d = _depth(spark, sf_dir)
+    return _out(Su.area_average(vol(spark, sf_dir), (10, 10, d), (10, 7, d * 2 // 5)))
 
 
 @query(f"SELECT k // 8 AS bk, j // 8 AS bj, i // 8 AS bi, bit_or(1 << s)::INT AS segments FROM (SELECT 0 AS s, k, j, i FROM ({_A}) UNION ALL SELECT 1, k, j, i FROM ({_B})) GROUP BY 1, 2, 3")
@@ -719,6 +722,7 @@ def mask_bricks(spark, sf_dir):
     return Su.mask_bricks(both).select("bk", "bj", "bi", "segments")
 
 
-@query(_islands(f"SELECT t.k::INT AS k, u.j::INT AS j, v.i::INT AS i FROM range(6) t(k), range(4) u(j), range(7) v(i), ({_A}) a WHERE a.k = floor(t.k * 9 / 5 + 0.5) AND a.j = floor(u.j * 9 / 3 + 0.5) AND a.i = floor(v.i * 9 / 6 + 0.5)"))
+@query(_islands(f"SELECT t.k::INT AS k, u.j::INT AS j, v.i::INT AS i FROM (SELECT unnest(range(m)) AS k, d, m FROM (SELECT d, d * 3 // 5 AS m FROM D)) t, range(4) u(j), range(7) v(i), ({_A}) a WHERE a.k = floor(t.k * (t.d - 1) / (t.m - 1) + 0.5) AND a.j = floor(u.j * 9 / 3 + 0.5) AND a.i = floor(v.i * 9 / 6 + 0.5)"))
 def resampled_runs(spark, sf_dir):
-    return _rows(Su.resampled_runs(mask(spark, sf_dir).where("k < 10"), (10, 10, 10), (7, 4, 6)))
+    d = _depth(spark, sf_dir)
+    return _rows(Su.resampled_runs(mask(spark, sf_dir), (10, 10, d), (7, 4, d * 3 // 5)))
