@@ -106,7 +106,11 @@ class LangModel:
 
 
 def fit(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, centroids: int = 4, quantile: float = 0.002) -> LangModel:
-    """Learn from rows with a language that ``usable(doc_id column)`` admits; document frequencies are over all of these rows."""
+    """Learn from rows with a language that ``usable(doc_id column)`` admits; document frequencies are over all of these rows.
+
+    Centroids come from a sample of ``per_lang`` texts a language.  Null texts and texts without a letter teach no language; an empty table gives a
+    model that calls everything ``und``.  Other columns play no part.
+    """
     teach = docs.where(F.col(lang).isNotNull() & usable(F.col(doc_id)))
     n, df = document_frequencies(teach, text)
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)

@@ -123,13 +123,14 @@ def adam(model, batches, rate: float = 3e-3):
             w -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(w.dtype)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic regression, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 30, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic regression, by Newton steps; rows may count unequally."""
     w = np.zeros(x.shape[1])
-    for _ in range(min(rounds, 30)):
+    c = np.ones(len(x)) if weight is None else weight / weight.mean()
+    for _ in range(rounds):
         p = sigmoid(x @ w)
-        h = x.T @ (x * (p * (1 - p))[:, None]) + ridge * len(x) * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) + ridge * len(x) * w)
+        h = x.T @ (x * (c * p * (1 - p))[:, None]) + ridge * len(x) * np.eye(len(w))
+        w -= np.linalg.solve(h, x.T @ (c * (p - y)) + ridge * len(x) * w)
     return w
 
 
@@ -160,7 +161,11 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 6, per_text: int = 3, bat
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 900) -> ByteCNN:
-    """Learn from a bounded sample of labelled rows (``per_label`` of each label) that ``usable(doc_id column)`` admits."""
+    """Learn from a bounded sample of labelled rows (``per_label`` of each label) that ``usable(doc_id column)`` admits.
+
+    Null texts and null or other labels don't teach; without two labels every text scores their share (a half without any).
+    Other columns play no part.
+    """
     rows = sample(docs, labels.where(F.col(label).isin(0, 1)), label, usable, per_label, doc_id, text)
     return train([(t.encode(), int(y)) for t, y in rows])
 
