@@ -102,22 +102,25 @@ def _relative(block: Column, width: int) -> list[Column]:
     return [(_distance(block, p) - F.bit_count(block)).cast("byte") for p in block_pivots(width)]
 
 
-def _keys(rest: Column, width: int) -> Column:
-    """For each pair of the four blocks of ``rest`` its key of relative coordinates, and the bits outside, packed."""
+def _with_keys(rows: DataFrame, rest: str, width: int) -> DataFrame:
+    """Replace the bits ``rest`` by ``keys``: for each pair of its four blocks a key of relative coordinates, and the bits outside, packed."""
+    keep = [c for c in rows.columns if c != rest]
     part = [F.shiftrightunsigned(rest, b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(BLOCKS)]
-    rel = [_relative(p, width) for p in part]
+    cut = rows.select(*keep, *(p.alias(f"part{b}") for b, p in enumerate(part)))
+    cut = cut.select("*", *(F.xxhash64(*_relative(F.col(f"part{b}"), width)).alias(f"near{b}") for b in range(BLOCKS)))
     out = []
     for i, (a, b) in enumerate(combinations(range(BLOCKS), 2)):
         c, d = (x for x in range(BLOCKS) if x not in (a, b))
-        left = part[c].bitwiseOR(F.shiftleft(part[d], width))
-        out.append(F.struct(F.xxhash64(F.lit(i), *rel[a], *rel[b]).alias("key"), F.lit(i).cast("byte").alias("pair"), left.alias("rest")))
-    return F.array(*out)
+        left = F.col(f"part{c}").bitwiseOR(F.shiftleft(f"part{d}", width))
+        out.append(F.struct(F.xxhash64(F.lit(i), f"near{a}", f"near{b}").alias("key"), F.lit(i).cast("byte").alias("pair"), left.alias("rest")))
+    return cut.select(*keep, F.array(*out).alias("keys"))
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
     """``(fp, w0..w7, keys array<struct<key, pair, rest>>)``: wide distances, and a key for each pair of blocks."""
     fp = F.col("fp")
-    return fps.select("fp", *(_distance(fp, p).alias(f"w{i}") for i, p in enumerate(wide_pivots())), _keys(fp, WIDTHS[0]).alias("keys"))
+    wide = fps.select("fp", *(_distance(fp, p).alias(f"w{i}") for i, p in enumerate(wide_pivots())), fp.alias("bits"))
+    return _with_keys(wide, "bits", WIDTHS[0])
 
 
 def _pairs(a: DataFrame, distance: int) -> DataFrame:
@@ -155,8 +158,8 @@ def links(fps: DataFrame, distance: int = 2, split: int = 64) -> tuple[DataFrame
         if not sizes.where(F.col("n") > split).take(1):
             break
         dense = join_hot(keyed, sizes.where(F.col("n") > split), "key", sizes).where("n is not null")
-        below = F.struct("key", "pair")
-        keyed = dense.select("fp", *ws, below.alias("above"), F.explode(_keys(F.col("rest"), WIDTHS[level + 1])).alias("k"))
+        below = _with_keys(dense.select("fp", *ws, F.struct("key", "pair").alias("above"), "rest"), "rest", WIDTHS[level + 1])
+        keyed = below.select("fp", *ws, "above", F.explode("keys").alias("k"))
         keyed = keyed.select("fp", *ws, F.xxhash64("above", "k.key").alias("key"), "k.pair", "k.rest")
     return reduce(DataFrame.union, found), paths
 
