@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, replaced
-from .sampling import sample
+from .sampling import drawn_rows, learn
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
 CHUNK, HOP = 512, 480
@@ -166,8 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, doc_id: str = "doc_id", text
     Null texts and null or other labels don't teach; without two labels every text scores their share (a half without any).
     Other columns play no part.
     """
-    rows = sample(docs, labels.where(F.col(label).isin(0, 1)), label, usable, per_label, doc_id, text)
-    return train([(t.encode(), int(y)) for t, y in rows])
+    return learn(drawn_rows(docs, labels.where(F.col(label).isin(0, 1)), label, usable, per_label, doc_id, text), train)
 
 
 def score(docs: DataFrame, model, text: str = "text", into: str = "score") -> DataFrame:

@@ -8,6 +8,10 @@ scored or counted covers all rows and whole texts).
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +22,8 @@ def _draw(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(DRAWS))
 
 
-def sample(docs: DataFrame, labels: DataFrame | None, label: str, usable, per_label: dict | int, doc_id: str = "doc_id", text: str = "text", most_chars: int = 20_000, most_rows: int = 8_000) -> list[tuple[str, object]]:
-    """``(text, label)`` of the sample, in the order of the draw.
+def drawn_rows(docs: DataFrame, labels: DataFrame | None, label: str, usable, per_label: dict | int, doc_id: str = "doc_id", text: str = "text", most_chars: int = 20_000, most_rows: int = 8_000) -> DataFrame:
+    """``(sample_id, sample_text, sample_label)`` of the sample.
 
     Other columns don't matter.  ``labels(doc_id, label)`` is joined, or ``docs`` has the label itself if it is
     None; ``usable(doc_id column)`` says which rows may teach.
@@ -42,9 +46,29 @@ def sample(docs: DataFrame, labels: DataFrame | None, label: str, usable, per_la
     else:
         # a bounded table: about per_label rows for each label
         rows = docs.where(fine).join(F.broadcast(drawn.dropDuplicates(["sample_id"])), F.col(doc_id) == F.col("sample_id"))
-    got = rows.select("sample_id", F.col(text).alias("sample_text"), "sample_label").collect()
-    got.sort(key=lambda r: (hash_order(str(r[0])), str(r[0]), r[1]))
-    return [(r[1], r[2]) for r in got]
+    return rows.select("sample_id", F.col(text).alias("sample_text"), "sample_label")
+
+
+def ordered(rows) -> list[tuple[str, object]]:
+    """``(text, label)`` in the order of the draw."""
+    return [(t, y) for _, t, y in sorted(rows, key=lambda r: (hash_order(str(r[0])), str(r[0]), r[1]))]
+
+
+def sample(*args, **params) -> list[tuple[str, object]]:
+    """``(text, label)`` of ``drawn_rows``, on the driver."""
+    return ordered(tuple(r) for r in drawn_rows(*args, **params).collect())
+
+
+def learn(rows: DataFrame, train):
+    """``train`` on the sample, in one task: neither the texts nor what training needs burden the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        model = train([(t.encode(), int(y)) for t, y in ordered(got)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(got[0]) if got else train([])
 
 
 def hash_order(x: str) -> int:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 from .quality import adam, logistic, score, sigmoid
-from .sampling import sample
+from .sampling import drawn_rows, learn
 from .textkit import ALNUM, Words, batches
 
 WINDOW, HOP, UNITS, BUCKETS = 24, 16, 10, 1 << 16
@@ -259,8 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, doc_id: str = "doc_id", text
     Null texts and null or other labels don't teach; without two labels every text scores their share (a half without any).
     Other columns play no part.
     """
-    rows = sample(docs, labels.where(F.col(label).isin(0, 1)), label, usable, {0: per_label[0], 1: per_label[1]}, doc_id, text)
-    return train([(t.encode(), int(v)) for t, v in rows])
+    return learn(drawn_rows(docs, labels.where(F.col(label).isin(0, 1)), label, usable, {0: per_label[0], 1: per_label[1]}, doc_id, text), train)
 
 
 def drop_toxic(docs: DataFrame, model: BiGRU, text: str = "text", threshold: float = 0.7) -> DataFrame:
