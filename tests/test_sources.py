@@ -149,3 +149,24 @@ def test_stream_of_slices(spark, tmp_path):
     stream.run_available(out, "slices_seen", str(tmp_path / "cp"), "update")
     got = {(r["series_id"], r["slices"], r["low"], r["high"]) for r in spark.table("slices_seen").collect()}
     assert (1, 5, 0.0, 2.0) in got
+
+
+def test_rows_come_back_to_their_place(spark):
+    rows = spark.createDataFrame([(1, "a", 0), (1, "c", 1), (1, "e", 2)], "series_id int, point_id string, ord int")
+    back = spark.createDataFrame([(1, "b", 1), (1, "d", 3), (1, "c", 0)], "series_id int, point_id string, ord int")
+    assert [r["point_id"] for r in N.restored(rows, back).orderBy("ord").collect()] == ["a", "b", "c", "d", "e"]
+    p = spark.createDataFrame([("apply", True, None, None, None), ("apply", False, True, True, True), ("cancel", False, True, True, None), ("reject", None, True, False, True), ("reject", False, None, True, True)], "want string, s boolean, o boolean, l boolean, c boolean")
+    assert all(r[0] == r[1] for r in p.select("want", N.decision(F.col("s"), F.col("o"), F.col("l"), F.col("c"))).collect())
+
+
+def test_series_are_grouped(spark, tmp_path):
+    folder(tmp_path / "a")
+    folder(tmp_path / "b", 6, 8, "1.2.9.5", 0.5)
+    again = tmp_path / "b" / "again.dcm"
+    again.write_bytes((tmp_path / "b" / "003.dcm").read_bytes())
+    kept, series = Se.group(dicom.read_headers(spark, str(tmp_path)))
+    rows = series.collect()
+    assert [(r["series_id"], r["slices"], r["rows"], r["window_width"], r["spacing_y"]) for r in rows] == [("1.2.3::1.2.3.4", 12, 16, 400, 0.1), ("1.2.3::1.2.9.5", 6, 8, 400, 0.1)]
+    assert [r["spacing_z"] for r in rows] == [pytest.approx(0.2), pytest.approx(0.5)]
+    assert sorted(r["ord"] for r in kept.where("series_id = '1.2.3::1.2.9.5'").collect()) == list(range(6))
+    assert Se.group(dicom.read_headers(spark, str(tmp_path)).where("false"))[1].collect() == []

@@ -393,3 +393,47 @@ def test_rounding_and_nan(spark):
     assert got == {-1024: 2, 3071: 2, 10: 1, 11: 1, -2: 1}
     assert df.where(S.inside(F.col("hu"), 0, 1e9)).count() == 4
     assert H.in_range(H.histogram(df), 20, 5).count() == 0
+
+
+# --- regions ----------------------------------------------------------------------------------------------------------------
+
+
+def test_regions_are_added_once_and_split_by_the_loop(spark):
+    from voxelith.operators import regions as Rg
+
+    meta = spark.createDataFrame([(1, 1, ["a"], False, False, False), (2, 1, ["a"], True, True, False)], "series_id int, region_id long, segments array<string>, selected boolean, visible boolean, merged boolean")
+    run = "series_id int, region_id long, k int, j int, x0 int, x1 int"
+    runs = spark.createDataFrame([(1, 1, 0, 0, 0, 3), (2, 1, 0, 0, 0, 1), (2, 1, 0, 0, 5, 6), (2, 1, 0, 0, 8, 8)], run)
+    new = spark.createDataFrame([(1, "x", ["a"], False), (1, "y", ["b"], True)], "series_id int, new_id string, segments array<string>, merged boolean")
+    new_runs = spark.createDataFrame([(1, "x", 0, 0, 3, 5), (1, "y", 0, 0, 3, 5)], "series_id int, new_id string, k int, j int, x0 int, x1 int")
+    m, r = Rg.add(meta, runs, new, new_runs)
+    assert {(x["series_id"], x["region_id"], *x["segments"], x["selected"], x["visible"], x["merged"]) for x in m.collect()} == {
+        (1, 1, "a", True, True, False), (2, 1, "a", True, True, False), (1, 2, "b", True, True, True)}
+    assert r.count() == 5
+    grids = spark.createDataFrame([(1, 9, 1, 1), (2, 9, 1, 1)], "series_id int, w int, h int, d int")
+    ident = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+    box = lambda x: [(-1, -1), (x, -1), (x, 1), (-1, 1)]
+    m2, r2 = Rg.lasso_deselect(meta, runs, grids, box(6.5), ident)
+    rows = {(x["series_id"], x["region_id"]): (x["selected"], x["merged"]) for x in m2.collect()}
+    assert rows == {(1, 1): (False, False), (2, 1): (True, False), (2, 2): (False, True)}
+    assert {(x["region_id"], x["x0"]) for x in r2.where("series_id = 2").collect()} == {(1, 8), (2, 0), (2, 5)}
+    m3, r3 = Rg.lasso_deselect(meta, runs, grids, box(8.5), ident)
+    assert m3.where("selected").count() == 0 and m3.count() == 2 and r3.count() == 4
+    m4, _ = Rg.lasso_deselect(meta, runs, grids, box(8.5), ident, ["b"])
+    assert m4.where("selected").count() == 1
+    empty = spark.createDataFrame([], "kind string, series_id int, k int, j int, x0 int, x1 int")
+    assert Rg.trim(meta, runs, "a", empty)[1].count() == 4
+    gone = spark.createDataFrame([("exclude", 1, 0, 0, 0, 8), ("keep", 2, 0, 0, 5, 8)], empty.schema)
+    m5, r5 = Rg.trim(meta, runs, "a", gone)
+    assert [x["series_id"] for x in m5.collect()] == [2] and {x["x0"] for x in r5.collect()} == {5, 8}
+    single, _ = Rg.merge_selected(meta, runs)
+    assert single.count() == 2
+
+
+def test_reset_of_edits_can_be_undone(spark):
+    log = Sg.EditLog(spark.createDataFrame([], "segment string, kind string, series_id int, k int, j int, x0 int, x1 int"))
+    row = spark.createDataFrame([(0, 0, 0, 1, 2)], RUN)
+    log.add("a", "keep", row)
+    log.add("b", "keep", row)
+    assert [r["segment"] for r in log.reset("a").collect()] == ["b"]
+    assert log.undo().count() == 2 and log.redo().count() == 1

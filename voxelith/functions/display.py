@@ -106,3 +106,13 @@ def extents_mm(dims: list[Column], spacing: list[Column]) -> Column:
 
 def oversize(extents: Column) -> Column:
     return F.coalesce(F.array_max(extents) / 1000 > OVERSIZE_MM / 1000 + 1e-9, F.lit(False))
+
+
+def step_delta(offset, step) -> tuple[Column, ...]:
+    """A voxel offset as a vector of a view whose space changes by ``step`` a voxel along each axis."""
+    return tuple(o * s for o, s in zip(offset, step, strict=True))
+
+
+def offset_from_delta(delta, step) -> tuple[Column, ...]:
+    """The voxel offset of a view's vector; 0 along an axis without a step."""
+    return tuple(F.when(s != 0, d / s).otherwise(0.0) for d, s in zip(delta, step, strict=True))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 ROW = ("series_id", "k", "j")
 
 
-def _w():
-    return Window.partitionBy(*ROW)
+def _w(by: tuple[str, ...] = ()):
+    return Window.partitionBy(*ROW, *by)
 
 
 def from_voxels(voxels: DataFrame, keep: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -29,26 +29,27 @@ def to_voxels(runs: DataFrame) -> DataFrame:
     return runs.select(*[c for c in runs.columns if c not in ("x0", "x1")], F.explode(F.sequence("x0", "x1")).alias("i"))
 
 
-def merge(runs: DataFrame) -> DataFrame:
-    """Join runs that overlap or touch."""
-    before = F.max("x1").over(_w().orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
-    flagged = runs.select(*ROW, "x0", "x1", F.when(F.col("x0") <= before + 1, 0).otherwise(1).alias("_new"))
-    numbered = flagged.withColumn("_g", F.sum("_new").over(_w().orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*ROW, "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
+def merge(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Join runs that overlap or touch, separately for each value of ``by``."""
+    w = _w(by).orderBy("x0", "x1")
+    before = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = runs.select(*ROW, *by, "x0", "x1", F.when(F.col("x0") <= before + 1, 0).otherwise(1).alias("_new"))
+    numbered = flagged.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*ROW, *by, "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
 
 
-def _sweep(a: DataFrame, b: DataFrame, want) -> DataFrame:
+def _sweep(a: DataFrame, b: DataFrame, want, by: tuple[str, ...] = ()) -> DataFrame:
     def ends(df: DataFrame, which: str) -> DataFrame:
         n = lambda v, of: F.lit(v if which == of else 0)
-        start = df.select(*ROW, F.col("x0").alias("x"), n(1, "a").alias("da"), n(1, "b").alias("db"))
-        stop = df.select(*ROW, (F.col("x1") + 1).alias("x"), n(-1, "a").alias("da"), n(-1, "b").alias("db"))
+        start = df.select(*ROW, *by, F.col("x0").alias("x"), n(1, "a").alias("da"), n(1, "b").alias("db"))
+        stop = df.select(*ROW, *by, (F.col("x1") + 1).alias("x"), n(-1, "a").alias("da"), n(-1, "b").alias("db"))
         return start.union(stop)
 
-    e = ends(a, "a").union(ends(b, "b")).groupBy(*ROW, "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    w = _w().orderBy("x")
+    e = ends(a, "a").union(ends(b, "b")).groupBy(*ROW, *by, "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    w = _w(by).orderBy("x")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = e.select(*ROW, F.col("x").alias("x0"), (F.lead("x").over(w) - 1).alias("x1"), (F.sum("da").over(upto) > 0).alias("ina"), (F.sum("db").over(upto) > 0).alias("inb"))
-    return merge(e.where(want(F.col("ina"), F.col("inb")) & F.col("x1").isNotNull()).select(*ROW, "x0", "x1"))
+    e = e.select(*ROW, *by, F.col("x").alias("x0"), (F.lead("x").over(w) - 1).alias("x1"), (F.sum("da").over(upto) > 0).alias("ina"), (F.sum("db").over(upto) > 0).alias("inb"))
+    return merge(e.where(want(F.col("ina"), F.col("inb")) & F.col("x1").isNotNull()).select(*ROW, *by, "x0", "x1"), by)
 
 
 def union(*masks: DataFrame) -> DataFrame:
@@ -62,8 +63,8 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return _sweep(a, b, lambda x, y: x & y)
 
 
-def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _sweep(a, b, lambda x, y: x & ~y)
+def subtract(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return _sweep(a, b, lambda x, y: x & ~y, by)
 
 
 def universe(grids: DataFrame) -> DataFrame:

@@ -201,3 +201,9 @@ class EditLog:
             self._past.append(self.now)
             self.now = self._next.pop()
         return self.now
+
+    def reset(self, segment: str) -> DataFrame:
+        """Take all edits of a segment away, as one step that can be undone."""
+        self._past = [*self._past, self.now][-self._most :]
+        self._next, self.now = [], self.now.where(F.col("segment") != segment)
+        return self.now

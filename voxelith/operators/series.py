@@ -112,6 +112,34 @@ def drop_duplicates(classified: DataFrame, key: str = "series_id") -> DataFrame:
     return c.withColumn("_keep", (best == 1) | F.coalesce(only, F.lit(False))).where("_keep").drop("_run", "_keep")
 
 
+def group(slices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Slices (as ``read_headers`` gives them) to series: the kept slices with ``ord``, and a row for each series.
+
+    Slices stand in order of their position along the normal, or else of their instance number, which also orders
+    frames with made-up positions.  Of slices at one position one stays, see ``drop_duplicates``.  The spacing is the
+    measured one, or else the tag's (between slices, thickness, 1).  Series with most slices come first.
+    """
+    s = slices if "synthetic" in slices.columns else slices.withColumn("synthetic", F.lit(False))
+    s = with_position(s.withColumn("series_id", F.concat_ws("::", "study_uid", "series_uid")))
+    made = F.bool_or("synthetic").over(Window.partitionBy("series_id"))
+    number = F.coalesce("instance", F.lit(0.0))
+    at = F.when(made, number).otherwise(F.coalesce("position", number))
+    order = lambda: F.row_number().over(Window.partitionBy("series_id").orderBy(at, "read_idx")) - 1
+    single = drop_duplicates(gaps(s.withColumn("ord", order()))).drop("gap", "ref", "kind", "missing", "shift")
+    kept = gaps(single.withColumn("ord", order()))
+    first = lambda c, ok=None: F.min_by(c, F.when(F.col(c).isNotNull() if ok is None else ok, F.col("ord"))).alias(c)
+    head = lambda c: F.min_by(c, "ord")
+    out = kept.groupBy("series_id").agg(
+        head("description").alias("description"), head("modality").alias("modality"), F.max("rows").alias("rows"), F.max("columns").alias("columns"), F.max("bits").alias("bits"),
+        first("window_center"), first("window_width", F.col("window_width") > 0), F.coalesce(head(F.col("pixel_spacing")[1]), F.lit(1.0)).alias("spacing_x"),
+        F.coalesce(head(F.col("pixel_spacing")[0]), F.lit(1.0)).alias("spacing_y"), head(F.coalesce(F.when(F.col("spacing_between") > 0, F.col("spacing_between")), F.when(F.col("thickness") > 0, F.col("thickness")), F.lit(1.0))).alias("_tag"),
+    )
+    out = out.join(spacing(kept), "series_id").join(value_range(kept, "series_id"), "series_id")
+    size = F.col("rows").cast("long") * F.col("columns") * F.col("slices") * F.when(F.col("fits_int16"), 2).otherwise(4)
+    out = out.withColumn("spacing_z", F.coalesce("spacing", "_tag")).withColumn("decoded_bytes", size).drop("_tag", "spacing")
+    return kept, out.orderBy(F.desc("slices"), "series_id")
+
+
 def value_range(slices: DataFrame, *by: str) -> DataFrame:
     """Least and largest value from the tags through slope and intercept, or from the stored bits."""
     signed = F.col("signed") == 1

@@ -17,6 +17,7 @@ from ..operators import hist as H
 from ..operators import mesh as Me
 from ..operators import morphology as M
 from ..operators import notes as N
+from ..operators import regions as Rg
 from ..operators import runs as R
 from ..operators import segments as Sg
 from ..operators import series as Se
@@ -726,3 +727,155 @@ def mask_bricks(spark, sf_dir):
 def resampled_runs(spark, sf_dir):
     d = _depth(spark, sf_dir)
     return _rows(Su.resampled_runs(mask(spark, sf_dir), (10, 10, d), (7, 4, d * 3 // 5)))
+
+
+# --- regions, edits of points, series tables -----------------------------------------------------------------
+
+
+_AIR = "SELECT k, j, i FROM V WHERE hu BETWEEN -1000 AND -300"
+
+
+@query(f"""WITH RECURSIVE {_V}, A AS MATERIALIZED ({_AIR}), X(k, j, i) AS (SELECT k, j, i FROM A WHERE j IN (0, 9) OR i IN (0, 9)
+    UNION SELECT A.k, A.j, A.i FROM X JOIN A ON A.k = X.k AND abs(A.j - X.j) + abs(A.i - X.i) = 1) {_islands("SELECT k, j, i FROM X")}""")
+def exterior_air(spark, sf_dir):
+    return _rows(C.exterior_air(mask(spark, sf_dir, -1000, -300), grid(spark, sf_dir)))
+
+
+@query(f"SELECT event_id, CASE WHEN value > 50 THEN {_r4('event_id * (value - 50) * 0.5 * 1.25')} END AS mm3 FROM events")
+def physical_volume(spark, sf_dir):
+    """Null where the spacing is not positive."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", r4(H.volume_mm3(F.col("event_id"), F.col("value") - 50, F.lit(0.5), F.lit(1.25))).alias("mm3"))
+
+
+@query("SELECT user_id AS series_id, event_id AS line FROM events WHERE abs(value - 50) <= 6 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 50), event_id) = 1")
+def nearest_line(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return H.nearest_line(e.select(F.col("user_id").alias("series_id"), F.col("event_id").alias("line"), F.col("value").alias("at")), F.lit(50.0))
+
+
+@query(f"""SELECT (SELECT count(*) FROM ({_A})) AS before, (SELECT count(*) FROM ({_A}) WHERE j <> 4) AS after, (SELECT count(*) FROM ({_B})) AS body,
+    (SELECT count(*) FROM (SELECT k, j, i FROM ({_A}) WHERE j <> 4 INTERSECT {_B})) AS inside_body, (d * 100)::BIGINT AS total FROM D""")
+def process_stats(spark, sf_dir):
+    a, b = _pair(spark, sf_dir)
+    return H.process_stats(a, a.where("j <> 4"), b, 100 * _depth(spark, sf_dir)).drop("series_id")
+
+
+def _regions(spark, sf_dir):
+    """Region 1 and 3 are parts of one segment, region 2 is another segment that overlaps them; all are selected."""
+    a, b = _pair(spark, sf_dir)
+    runs = a.withColumn("region_id", F.when(F.col("j") < 5, 1).otherwise(3)).unionByName(b.withColumn("region_id", F.lit(2)))
+    names = [(1, 1, ["a"]), (1, 2, ["b"]), (1, 3, ["a"])]
+    meta = spark.createDataFrame(names, "series_id int, region_id long, segments array<string>")
+    for c in ("selected", "visible", "merged"):
+        meta = meta.withColumn(c, F.lit(c != "merged"))
+    return meta, runs.select("series_id", F.col("region_id").cast("long").alias("region_id"), "k", "j", "x0", "x1")
+
+
+def _shown(regions, runs):
+    return Rg.sized(regions, runs, 0.3125).select("region_id", F.array_join("segments", "+").alias("segments"), "selected", "merged", "voxels", "mm3")
+
+
+_REG = f"RG AS (SELECT CASE WHEN j < 5 THEN 1 ELSE 3 END AS region_id, k, j, i FROM ({_A}) UNION ALL SELECT 2, k, j, i FROM ({_B}))"
+_SHOWN = "count(*) AS voxels, count(*) * 0.3125::DOUBLE AS mm3"
+
+
+@query(f"WITH {_V}, {_REG} SELECT region_id::BIGINT AS region_id, CASE WHEN region_id = 2 THEN 'b' ELSE 'a' END AS segments, true AS selected, false AS merged, {_SHOWN} FROM RG WHERE region_id = 2 OR (k < 7 AND i <> 3 AND j <> 2) GROUP BY region_id")
+def trimmed_regions(spark, sf_dir):
+    v = vol(spark, sf_dir)
+    parts = [("keep", F.col("k") < 7), ("exclude", F.col("i") == 3), ("exclude", F.col("j") == 2)]
+    edits = [R.from_voxels(v, c).withColumn("kind", F.lit(kind)) for kind, c in parts]
+    return _shown(*Rg.trim(*_regions(spark, sf_dir), "a", edits[0].unionByName(edits[1]).unionByName(edits[2])))
+
+
+@query(f"SELECT 4::BIGINT AS region_id, 'a+b' AS segments, true AS selected, true AS merged, {_SHOWN} FROM ({_A} UNION {_B})")
+def merged_regions(spark, sf_dir):
+    return _shown(*Rg.merge_selected(*_regions(spark, sf_dir)))
+
+
+_SPOTS, _BOX = "SELECT k, j, i FROM V WHERE hu BETWEEN -900 AND -750", [(-0.5, -0.5), (5.5, -0.5), (5.5, 6.5), (-0.5, 6.5)]
+_SAME = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+_INSIDE = "P AS (SELECT comp_id, bool_and(n % 10 < 5.5 AND (n // 10) % 10 < 6.5) AS inside, count(*) AS n FROM comp GROUP BY comp_id)"
+
+
+@query(_cc(_SPOTS, f", {_INSIDE} SELECT 1::BIGINT AS region_id, 's' AS segments, true AS selected, count(*) > 1 AS merged, sum(n)::BIGINT AS voxels, sum(n) * 0.3125::DOUBLE AS mm3 FROM P WHERE inside HAVING count(*) > 0"))
+def lasso_regions(spark, sf_dir):
+    """What lies wholly inside a loop on the image becomes a region."""
+    meta, runs = _regions(spark, sf_dir)
+    spots = mask(spark, sf_dir, -900, -750).withColumn("segment", F.lit("s"))
+    return _shown(*Rg.lasso_select(meta.where("false"), runs.where("false"), spots, grid(spark, sf_dir), _BOX, _SAME))
+
+
+@query(_cc(_SPOTS, f""", {_INSIDE} SELECT CASE WHEN inside THEN 2 ELSE 1 END::BIGINT AS region_id, 's' AS segments, NOT inside AS selected, count(*) > 1 AS merged, sum(n)::BIGINT AS voxels,
+    sum(n) * 0.3125::DOUBLE AS mm3 FROM P GROUP BY inside"""))
+def lasso_split(spark, sf_dir):
+    """A selected region that lies partly inside the loop is split in two."""
+    meta = spark.createDataFrame([(1, 1, ["s"], True, True, True)], "series_id int, region_id long, segments array<string>, selected boolean, visible boolean, merged boolean")
+    runs = mask(spark, sf_dir, -900, -750).withColumn("region_id", F.lit(1).cast("long"))
+    return _shown(*Rg.lasso_deselect(meta, runs, grid(spark, sf_dir), _BOX, _SAME))
+
+
+@query(f"""WITH {_V}, {_PT} SELECT p AS point_id, CASE WHEN p % 5 = 0 THEN 'n' || p ELSE 't' || p END AS text, CASE WHEN p % 3 = 0 THEN i + 1 ELSE i END::INT AS i, j::INT AS j, k::INT AS k,
+    CASE WHEN p % 4 = 0 THEN '#00ff7f' WHEN p % 4 = 2 THEN NULL ELSE '#123456' END AS colour FROM PT WHERE p % 11 <> 0""")
+def point_edits(spark, sf_dir):
+    """Texts, places and colours change; blank texts, places that are no numbers and other colours are refused; some points go."""
+    p = _points(spark, sf_dir)
+    n = F.col("point_id")
+    p = p.withColumn("text", F.concat(F.lit("t"), n.cast("string"))).withColumn("colour", F.lit("#123456"))
+    texts = p.select("point_id", F.when(n % 5 == 0, F.concat(F.lit("n"), n.cast("string"))).otherwise(" ").alias("text"))
+    places = p.select("point_id", F.when(n % 3 == 0, F.col("i") + 0.5).otherwise(F.lit(float("nan"))).alias("i"), F.col("j") + 0.4, F.col("k") - 0.5).toDF("point_id", "i", "j", "k")
+    tints = p.select("point_id", F.when(n % 4 == 0, " #00FF7F ").when(n % 4 == 2, "").otherwise("red").alias("colour"))
+    out = N.coloured(N.moved(N.with_text(p, texts), places), tints)
+    return N.without(out, p.where(n % 11 == 0), "point_id").select("point_id", "text", "i", "j", "k", "colour")
+
+
+@query(f"WITH {_V}, {_PT} SELECT id, a, b FROM MS WHERE b IS NOT NULL")
+def measurement_restore(spark, sf_dir):
+    """Measurements that were taken away come back once, whatever their id or the order of their points; none between series does."""
+    p, all_ = _points(spark, sf_dir), _pairs(spark, sf_dir)
+    turned = all_.select((-F.col("id") - 1).alias("id"), F.col("b").alias("a"), F.col("a").alias("b"))
+    across = p.where("series_id % 2 = 0").alias("x").join(p.where("series_id % 2 = 1").alias("y"), F.expr("x.point_id = y.point_id - 1"))
+    across = across.select(F.expr("-1000000000 - x.point_id").alias("id"), F.col("x.point_id").alias("a"), F.col("y.point_id").alias("b"))
+    left = all_.where("id % 3 <> 0")
+    back = all_.unionByName(turned.where("a % 3 <> 0 and b % 3 <> 0")).unionByName(across)
+    known = left.unionByName(all_.where("id % 3 = 0"))
+    return N.add_measurements(left, back.join(known.select("id"), "id", "left_semi").unionByName(across), p, most=1 << 30)
+
+
+@query(f"""WITH {_V}, {_PT} SELECT id, CASE WHEN id % 3 = 0 THEN floor((id % 7 + 0.12345) * 1000 + 0.5) / 1000 WHEN id % 3 = 1 THEN NULL ELSE 1.0 END::DOUBLE AS di,
+    CASE WHEN id % 3 = 1 THEN NULL WHEN id % 3 = 0 THEN -2.5 ELSE 1.0 END::DOUBLE AS dk FROM MS WHERE b IS NOT NULL""")
+def label_offsets(spark, sf_dir):
+    """Every third label moves, every third goes back, and for the rest the move is out of reach."""
+    one = F.struct(*(F.lit(1.0).alias(c) for c in "ijk"))
+    m = _pairs(spark, sf_dir).withColumn("offset", F.when(F.col("id") >= 0, one))
+    kind = F.col("id") % 3
+    to = lambda v: F.when(kind == 0, v).when(kind == 2, 2e4)
+    edits = m.select("id", to(F.col("id") % 7 + 0.12345).alias("i"), to(F.lit(0.0)).alias("j"), to(F.lit(-2.5)).alias("k"))
+    return N.with_label_offset(m, edits).select("id", F.col("offset.i").alias("di"), F.col("offset.k").alias("dk"))
+
+
+@query(f"""SELECT line_id, q, CASE WHEN lo % 3 = 1 THEN hi_hu WHEN f > 1e-9 AND (lo + 1) % 3 <> 1 THEN {_r4('lo_hu * (1 - f) + hi_hu * f')} ELSE lo_hu END AS hu
+    FROM (SELECT a.j * 10 + a.i AS line_id, q::INT AS q, lo, f, a.hu AS lo_hu, CASE WHEN f > 1e-9 AND (lo + 1) % 3 <> 1 THEN b.hu END AS hi_hu
+          FROM (SELECT q, floor(z)::INT AS lo, z - floor(z) AS f FROM (SELECT q, 9.0::DOUBLE * (q / 23.0::DOUBLE) AS z FROM range(24) r(q))) s
+          JOIN V a ON a.k = lo LEFT JOIN V b ON b.k = lo + 1 AND b.j = a.j AND b.i = a.i)""")
+def coarse_profile(spark, sf_dir):
+    """Lines along z through every pixel, of which every third slice is not at hand."""
+    v = vol(spark, sf_dir)
+    ends = {"ax": "i", "ay": "j", "az": "0", "bx": "i", "by": "j", "bz": "9"}
+    lines = v.where("k = 0").select("series_id", (F.col("j") * 10 + F.col("i")).alias("line_id"), *(F.expr(e).cast("double").alias(c) for c, e in ends.items()))
+    got = G.coarse_profile(lines, v.where("k % 3 <> 1"), (10, 10, _depth(spark, sf_dir)), SPACING)
+    return got.select("line_id", "q", r4(F.col("hu")).alias("hu"))
+
+
+@query(f"""WITH {_V}, {_GAPS}, K AS (SELECT s, min(event_id) AS event_id, min(ord) AS place FROM (SELECT *, sum((kind <> 'duplicate')::INT) OVER (PARTITION BY s ORDER BY ord) AS run FROM G4) GROUP BY s, run)
+    SELECT 'x::' || s AS series_id, count(*) AS slices, max(8 + event_id % 3)::INT AS "rows", max(6 + event_id % 5)::INT AS columns, CAST(arg_min(event_id % 7, place) FILTER (event_id % 7 > 0) AS DOUBLE) AS window_width,
+    min(-100.0 - event_id % 3)::DOUBLE AS min_hu FROM K GROUP BY s""")
+def grouped_series(spark, sf_dir):
+    """Each user's events as the slices of a series, one for each place."""
+    o = _ordered(spark, sf_dir)
+    n = F.col("read_idx")
+    fixed = {"orientation": "array(1.0, 0.0, 0.0, 0.0, 1.0, 0.0)", "pos": "array(0.0, 0.0, position)", "pixel_spacing": "array(0.5, 0.5)", "description": "'d'", "modality": "'CT'", "study_uid": "'x'"}
+    tags = {"bits": "16", "bits_stored": "12", "signed": "0", "smallest": "0", "largest": "1000", "slope": "1.0", "window_center": "40.0", "spacing_between": "cast(null as double)", "thickness": "1.0"}
+    s = o.select("read_idx", "instance", F.col("series_id").cast("string").alias("series_uid"), *(F.expr(e).alias(c) for c, e in (fixed | tags).items()))
+    s = s.withColumn("rows", 8 + n % 3).withColumn("columns", 6 + n % 5).withColumn("window_width", (n % 7).cast("double")).withColumn("intercept", (-100 - n % 3).cast("double"))
+    return Se.group(s)[1].select("series_id", "slices", "rows", "columns", "window_width", "min_hu")
