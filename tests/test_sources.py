@@ -170,3 +170,22 @@ def test_series_are_grouped(spark, tmp_path):
     assert [r["spacing_z"] for r in rows] == [pytest.approx(0.2), pytest.approx(0.5)]
     assert sorted(r["ord"] for r in kept.where("series_id = '1.2.3::1.2.9.5'").collect()) == list(range(6))
     assert Se.group(dicom.read_headers(spark, str(tmp_path)).where("false"))[1].collect() == []
+
+
+def test_bad_slices_and_rows_of_slices(spark, tmp_path):
+    folder(tmp_path / "a", 3)
+    whole = (tmp_path / "a" / "001.dcm").read_bytes()
+    (tmp_path / "a" / "001.dcm").write_bytes(whole[:-10])
+    (tmp_path / "a" / "bad.dcm").write_bytes(b"nothing")
+    numbered = spark.read.format("binaryFile").load(str(tmp_path / "a")).selectExpr("path", "1 as series_id", "cast(row_number() over (order by path) - 1 as int) as k")
+    rows = {r["k"]: r for r in dicom.read_planes(spark, str(tmp_path), numbered, errors=True).collect()}
+    assert {k: r["error"] for k, r in rows.items()} == {0: None, 1: "pixels are cut short", 2: None, 3: "no DICM mark"}
+    assert rows[1]["data"] is None and len(rows[2]["data"]) == 16 * 16 * 4
+    with pytest.raises(Exception, match="cut short"):
+        dicom.read_planes(spark, str(tmp_path), numbered.where("k < 3")).collect()
+    some = dicom.read_planes(spark, str(tmp_path), numbered.where("k < 3"), rows=(2, 5)).collect()
+    assert len(some) == 3 and all((r["h"], r["w"]) == (3, 16) for r in some)
+    meta = dicom.header(whole)
+    assert (dicom.decode(whole, meta)[2:5] == dicom.decode(whole, meta, rows=(2, 5))).all()
+    with pytest.raises(ValueError):
+        dicom.decode(whole, meta, rows=(16, 20))

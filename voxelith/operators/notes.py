@@ -40,10 +40,13 @@ def cascade(measurements: DataFrame, points: DataFrame) -> DataFrame:
     return measurements.join(ids.toDF("a"), "a", "left_semi").join(ids.toDF("b"), "b", "left_semi")
 
 
-def add_measurements(old: DataFrame, new: DataFrame, points: DataFrame, most: int = MOST_MEASUREMENTS) -> DataFrame:
-    """Old ones and those new ones, within one series, whose pair and id are new, in id order up to the limit."""
+def add_measurements(old: DataFrame, new: DataFrame, points: DataFrame, most: int = MOST_MEASUREMENTS, one_series: bool = False) -> DataFrame:
+    """Old ones and those new ones whose pair and id are new, in id order up to the limit.
+
+    With ``one_series``, measurements between points of two series are refused.
+    """
     pair = lambda df: df.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    fresh = one_per_pair(in_one_series(new, points)).join(old.select("id"), "id", "left_anti")
+    fresh = one_per_pair(in_one_series(new, points) if one_series else cascade(new, points)).join(old.select("id"), "id", "left_anti")
     fresh = fresh.withColumn("p", F.least("a", "b")).withColumn("q", F.greatest("a", "b")).join(pair(old).distinct(), ["p", "q"], "left_anti")
     both = old.select("id", "a", "b", F.lit(0).alias("_new")).unionByName(fresh.select("id", "a", "b", F.lit(1).alias("_new")))
     return both.orderBy("_new", "id").limit(most).drop("_new")

@@ -839,7 +839,7 @@ def measurement_restore(spark, sf_dir):
     left = all_.where("id % 3 <> 0")
     back = all_.unionByName(turned.where("a % 3 <> 0 and b % 3 <> 0")).unionByName(across)
     known = left.unionByName(all_.where("id % 3 = 0"))
-    return N.add_measurements(left, back.join(known.select("id"), "id", "left_semi").unionByName(across), p, most=1 << 30)
+    return N.add_measurements(left, back.join(known.select("id"), "id", "left_semi").unionByName(across), p, most=1 << 30, one_series=True)
 
 
 @query(f"""WITH {_V}, {_PT} SELECT id, CASE WHEN id % 3 = 0 THEN floor((id % 7 + 0.12345) * 1000 + 0.5) / 1000 WHEN id % 3 = 1 THEN NULL ELSE 1.0 END::DOUBLE AS di,

@@ -143,27 +143,36 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
-def decode(data: bytes, meta: dict, frame: int = 0) -> np.ndarray:
-    """Calibrated float32 plane of one frame."""
+def decode(data: bytes, meta: dict, frame: int = 0, rows: tuple[int, int] | None = None) -> np.ndarray:
+    """Calibrated float32 plane of one frame, or just its rows from the first up to before the last of ``rows``.
+
+    Of native pixels only the bytes of those rows are touched; run-length segments are decoded up to their end.
+    """
     h, w, bits, syntax = meta["rows"], meta["columns"], meta["bits"], meta["transfer_syntax"]
     if bits not in (8, 16) or (meta["samples"] or 1) != 1:
         raise UnsupportedTransferSyntax("only 8 or 16 bits and one sample a pixel")
     size = h * w * bits // 8
+    first, last = (0, h) if rows is None else (max(0, rows[0]), min(h, rows[1]))
+    if meta["pixel_offset"] is None or first >= last:
+        raise ValueError("no pixels" if meta["pixel_offset"] is None else "no such rows")
     if syntax in NATIVE:
-        raw = data[meta["pixel_offset"] + frame * size : meta["pixel_offset"] + (frame + 1) * size]
-        if len(raw) < size:
+        at = meta["pixel_offset"] + frame * size
+        raw = data[at + first * w * bits // 8 : at + last * w * bits // 8]
+        if len(raw) < (last - first) * w * bits // 8:
             raise ValueError("pixels are cut short")
     elif syntax == RLE:
         part = fragments(data, meta["pixel_offset"])[frame]
         n, *offsets = struct.unpack_from("<16I", part)
         ends = [*offsets[1:n], len(part)]
-        segments = [unpack_bits(part[a:b], h * w) for a, b in zip(offsets[:n], ends, strict=False)]
+        segments = [unpack_bits(part[a:b], last * w)[first * w :] for a, b in zip(offsets[:n], ends, strict=False)]
+        if any(len(s) < (last - first) * w for s in segments):
+            raise ValueError("pixels are cut short")
         raw = np.stack([np.frombuffer(s, np.uint8) for s in reversed(segments)], 1).tobytes()  # most significant first
     else:
         raise UnsupportedTransferSyntax(syntax)
     kind = ("i" if meta["signed"] else "u") + str(bits // 8)
     v = np.frombuffer(raw, (">" if syntax == EXPLICIT_BE else "<") + kind)
-    return (v.astype(float) * meta["slope"] + meta["intercept"]).astype(np.float32).reshape(h, w)
+    return (v.astype(float) * meta["slope"] + meta["intercept"]).astype(np.float32).reshape(last - first, w)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -194,8 +203,11 @@ def expand_frames(slices: DataFrame) -> DataFrame:
     return s.withColumn("pos", F.when(F.col("synthetic") & F.col("pos").isNotNull(), moved).otherwise(F.col("pos"))).withColumn("instance", F.when(F.col("synthetic"), F.coalesce("instance", F.lit(0.0)) + F.col("frame")).otherwise(F.col("instance")))
 
 
-def read_planes(spark: SparkSession, path: str, numbered: DataFrame) -> DataFrame:
-    """Decoded planes; ``numbered(path, series_id, k[, frame])`` says which slice a file is."""
+def read_planes(spark: SparkSession, path: str, numbered: DataFrame, rows: tuple[int, int] | None = None, errors: bool = False) -> DataFrame:
+    """Decoded planes (or rows of them); ``numbered(path, series_id, k[, frame])`` says which slice a file is.
+
+    A file that cannot be decoded fails the job, or, with ``errors``, becomes a row without pixels whose ``error`` says why.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     frame = "frame" if "frame" in numbered.columns else F.lit(0).alias("frame")
     met = files.join(numbered.select("path", "series_id", "k", frame), "path")
@@ -203,11 +215,21 @@ def read_planes(spark: SparkSession, path: str, numbered: DataFrame) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content, s, k, f in zip(pdf["content"], pdf["series_id"], pdf["k"], pdf["frame"], strict=True):
-                meta = header(bytes(content))
-                a = decode(bytes(content), meta, int(f))
-                yield pd.DataFrame({"series_id": [np.int32(s)], "k": [np.int32(k)], "w": [np.int32(a.shape[1])], "h": [np.int32(a.shape[0])], "data": [a.tobytes()]})
+                row, why = {"series_id": [np.int32(s)], "k": [np.int32(k)]}, None
+                try:
+                    meta = header(bytes(content))
+                    if meta is None:
+                        raise ValueError("no series UID")
+                    a = decode(bytes(content), meta, int(f), rows)
+                    row |= {"w": [np.int32(a.shape[1])], "h": [np.int32(a.shape[0])], "data": [a.tobytes()]}
+                except (ValueError, struct.error, IndexError) as e:
+                    if not errors:
+                        raise
+                    why = str(e) or type(e).__name__
+                    row |= {"w": [np.int32(0)], "h": [np.int32(0)], "data": [None]}
+                yield pd.DataFrame(row | {"error": [why]} if errors else row)
 
-    return met.select("content", "series_id", "k", "frame").mapInPandas(run, PLANES)
+    return met.select("content", "series_id", "k", "frame").mapInPandas(run, PLANES + ", error string" if errors else PLANES)
 
 
 def write(meta: dict, pixels: np.ndarray) -> bytes:
