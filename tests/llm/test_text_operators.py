@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from voxelith.llm import decontam, linededup, packing, simhash, textkit
@@ -117,6 +118,24 @@ def test_links_are_those_of_brute_force(spark, split, distance):
     assert {tuple(sorted(x)) for x in got} == want
 
 
+def test_pivot_keys_stay_short_as_code(spark, tmp_path):
+    """Written out, the pivots made 16,000 lines that no longer compiled, and most of the driver's memory went into them."""
+    path = str(tmp_path / "fps")
+    spark.range(100).select(F.xxhash64("id").alias("fp")).write.parquet(path)
+    ws = [f"w{i}" for i in range(simhash.WIDE)]
+    keyed = simhash.pivot_table(spark.read.parquet(path)).select("fp", *ws, F.inline("keys"))
+    code = spark._jvm.PythonSQLUtils.explainString(keyed._jdf.queryExecution(), "codegen")
+    assert len(code.splitlines()) < 3000
+    assert keyed.count() == 600
+    # the bits outside the two blocks come along
+    got = keyed.collect()
+    block = lambda fp, b: fp >> 16 * b & 0xFFFF
+    for r in got:
+        a, b = list(itertools.combinations(range(4), 2))[r["pair"]]
+        c, d = (x for x in range(4) if x not in (a, b))
+        assert r["rest"] == block(r["fp"], c) | block(r["fp"], d) << 16
+
+
 def test_components_of_fingerprints(spark):
     rng = random.Random(6)
     texts = [words(i // 3, 80) + (" end" * rng.randrange(2)) for i in range(60)]

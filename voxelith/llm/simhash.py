@@ -97,23 +97,29 @@ def _distance(fp: Column, pivot: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot)))).cast("byte")
 
 
-def _relative(block: Column, width: int) -> list[Column]:
-    """Distances of a block's bits to its pivots, less the distance to the origin."""
-    return [(_distance(block, p) - F.bit_count(block)).cast("byte") for p in block_pivots(width)]
+def _relative(block: Column, width: int) -> Column:
+    """Distances of a block's bits to its pivots, less the distance to the origin; one loop over the pivots, as the driver compiles what is written out."""
+    pivots = F.array(*(F.lit(p).cast("long") for p in block_pivots(width)))
+    return F.transform(pivots, lambda p: (F.bit_count(block.bitwiseXOR(p)) - F.bit_count(block)).cast("byte"))
 
 
 def _with_keys(rows: DataFrame, rest: str, width: int) -> DataFrame:
     """Replace the bits ``rest`` by ``keys``: for each pair of its four blocks a key of relative coordinates, and the bits outside, packed."""
     keep = [c for c in rows.columns if c != rest]
     part = [F.shiftrightunsigned(rest, b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(BLOCKS)]
-    cut = rows.select(*keep, *(p.alias(f"part{b}") for b, p in enumerate(part)))
-    cut = cut.select("*", *(F.xxhash64(*_relative(F.col(f"part{b}"), width)).alias(f"near{b}") for b in range(BLOCKS)))
-    out = []
+    cut = rows.select(*keep, F.array(*part).alias("part"))
+    cut = cut.select("*", F.transform("part", lambda p: F.xxhash64(_relative(p, width))).alias("near"))
+    pairs = []
     for i, (a, b) in enumerate(combinations(range(BLOCKS), 2)):
         c, d = (x for x in range(BLOCKS) if x not in (a, b))
-        left = F.col(f"part{c}").bitwiseOR(F.shiftleft(f"part{d}", width))
-        out.append(F.struct(F.xxhash64(F.lit(i), f"near{a}", f"near{b}").alias("key"), F.lit(i).cast("byte").alias("pair"), left.alias("rest")))
-    return cut.select(*keep, F.array(*out).alias("keys"))
+        pairs.append(F.struct(F.lit(i).alias("pair"), *(F.lit(x).alias(n) for n, x in zip("abcd", (a, b, c, d), strict=True))))
+
+    def key(p: Column) -> Column:
+        near, part = (lambda at, of=of: F.get(of, p[at]) for of in ("near", "part"))
+        left = part("c").bitwiseOR(F.shiftleft(part("d"), width))
+        return F.struct(F.xxhash64(p["pair"], near("a"), near("b")).alias("key"), p["pair"].cast("byte").alias("pair"), left.alias("rest"))
+
+    return cut.select(*keep, F.transform(F.array(*pairs), key).alias("keys"))
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
@@ -142,7 +148,7 @@ def links(fps: DataFrame, distance: int = 2, split: int = 64) -> tuple[DataFrame
     if not 0 <= distance <= BLOCKS - 2:
         raise ValueError(f"the blocks prove completeness up to {BLOCKS - 2} bits")
     ws = [f"w{i}" for i in range(WIDE)]
-    keyed = pivot_table(fps).select("fp", *ws, F.inline("keys"))
+    keyed = pivot_table(fps).select("fp", *ws, F.inline_outer("keys"))  # the outer forms bring no filter that makes the keys a second time
     found, paths = [], []
     for level in range(len(WIDTHS)):
         last = level + 1 == len(WIDTHS)
@@ -159,7 +165,7 @@ def links(fps: DataFrame, distance: int = 2, split: int = 64) -> tuple[DataFrame
             break
         dense = join_hot(keyed, sizes.where(F.col("n") > split), "key", sizes).where("n is not null")
         below = _with_keys(dense.select("fp", *ws, F.struct("key", "pair").alias("above"), "rest"), "rest", WIDTHS[level + 1])
-        keyed = below.select("fp", *ws, "above", F.explode("keys").alias("k"))
+        keyed = below.select("fp", *ws, "above", F.explode_outer("keys").alias("k"))
         keyed = keyed.select("fp", *ws, F.xxhash64("above", "k.key").alias("key"), "k.pair", "k.rest")
     return reduce(DataFrame.union, found), paths
 
