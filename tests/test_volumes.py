@@ -437,3 +437,12 @@ def test_reset_of_edits_can_be_undone(spark):
     log.add("b", "keep", row)
     assert [r["segment"] for r in log.reset("a").collect()] == ["b"]
     assert log.undo().count() == 2 and log.redo().count() == 1
+
+
+def test_steps_are_exact_and_zero_needs_all_digits(spark):
+    spans = [0.035, 0.07, 0.0007, 0.014, 7e-9, 0.0, -0.07, 350.0, 1e9]
+    df = spark.createDataFrame([(n, s) for n, s in enumerate(spans)], "n int, span double").orderBy("n")
+    assert [r[0] for r in df.select(Di.value_step(F.col("span"))).collect()] == [5e-05, 1e-04, 1e-06, 2e-05, 1e-06, 1e-06, 1e-04, 0.5, 2e6]
+    steps = [0.0, 1e-9, 0.001, 0.05, 0.5, 1.0, 20.0]
+    df = spark.createDataFrame([(n, s) for n, s in enumerate(steps)], "n int, step double").orderBy("n")
+    assert [r[0] for r in df.select(Di.digits(F.col("step"))).collect()] == [4, 4, 3, 2, 1, 0, 0]

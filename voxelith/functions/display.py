@@ -11,14 +11,15 @@ from .scalar import clamp, round_half_up
 def value_step(span: Column) -> Column:
     """A step of 1, 2 or 5 times a power of ten, about a 700th of the span."""
     target = F.greatest(F.abs(span) / 700, F.lit(1e-6))
-    power = F.pow(F.lit(10.0), F.floor(F.log10(target)))
+    # read from text: Java's pow is one place off at some powers of ten
+    power = F.concat(F.lit("1e"), F.floor(F.log10(target)).cast("string")).cast("double")
     part = target / power
     return power * F.when(part <= 1, 1).when(part <= 2, 2).when(part <= 5, 5).otherwise(10)
 
 
 def digits(step: Column) -> Column:
-    """Decimals that a step needs, four at most."""
-    return F.when(step >= 1, 0).otherwise(clamp(F.ceil(-F.log10(step)), 0, 4)).cast("int")
+    """Decimals that a step needs, four at most (a step of 0 needs them all)."""
+    return F.when(step >= 1, 0).when(step == 0, 4).otherwise(clamp(F.ceil(-F.log10(step)), 0, 4)).cast("int")
 
 
 def byte_size(n: Column) -> Column:
