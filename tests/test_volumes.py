@@ -16,6 +16,7 @@ from voxelith.operators import mesh as Me
 from voxelith.operators import morphology as M
 from voxelith.operators import runs as R
 from voxelith.operators import segments as Sg
+from voxelith.operators import setup as Su
 from voxelith.operators import slabs
 from voxelith.operators import stencil as St
 from voxelith.operators import volume as V
@@ -446,3 +447,12 @@ def test_steps_are_exact_and_zero_needs_all_digits(spark):
     steps = [0.0, 1e-9, 0.001, 0.05, 0.5, 1.0, 20.0]
     df = spark.createDataFrame([(n, s) for n, s in enumerate(steps)], "n int, step double").orderBy("n")
     assert [r[0] for r in df.select(Di.digits(F.col("step"))).collect()] == [4, 4, 3, 2, 1, 0, 0]
+
+
+def test_resampling_of_many_slices(spark):
+    """Place times size passes 2^31 here."""
+    d, td = 60000, 36000
+    runs = spark.createDataFrame([(1, k, 9, 0, 9) for k in (0, 3, 30000, d - 2, d - 1)], RUN)
+    got = sorted((r["k"], r["j"], r["x0"], r["x1"]) for r in Su.resampled_runs(runs, (10, 10, d), (7, 4, td)).collect())
+    shown = {k: (2 * k * (d - 1) + td - 1) // (2 * (td - 1)) for k in range(td)}
+    assert got == [(k, 3, 0, 6) for k, old in shown.items() if old in (0, 3, 30000, d - 2, d - 1)]

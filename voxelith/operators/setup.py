@@ -52,7 +52,7 @@ def resampled_runs(runs: DataFrame, dims: tuple[int, int, int], to: tuple[int, i
 
     def table(n: int, m: int, old: str, new: str) -> DataFrame:
         pairs = spark.range(m).select(F.col("id").cast("int").alias(new))
-        place = F.floor(F.col(new) * (n - 1) / (m - 1) + 0.5).cast("int") if m > 1 else F.lit(0)
+        place = F.floor(F.col(new).cast("long") * (n - 1) / (m - 1) + 0.5).cast("int") if m > 1 else F.lit(0)
         return pairs.withColumn(old, place)
 
     def bound(x: Column, n: int, m: int, upper: bool) -> Column:
