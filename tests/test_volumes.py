@@ -456,3 +456,24 @@ def test_resampling_of_many_slices(spark):
     got = sorted((r["k"], r["j"], r["x0"], r["x1"]) for r in Su.resampled_runs(runs, (10, 10, d), (7, 4, td)).collect())
     shown = {k: (2 * k * (d - 1) + td - 1) // (2 * (td - 1)) for k in range(td)}
     assert got == [(k, 3, 0, 6) for k, old in shown.items() if old in (0, 3, 30000, d - 2, d - 1)]
+
+
+def test_bilateral_without_a_join_on_gaps_and_repeats(spark, tmp_path):
+    """Sent to all that they reach, voxels were joined with a broadcast of all voxels."""
+    a = {p: 400 * x for p, x in zip(np.ndindex(5, 4, 6), lcg(120, 8).tolist(), strict=True) if sum(p) % 7 != 3}
+    rows = [(1, *p, v) for p, v in a.items()] + [(1, 2, 2, 2, a[2, 2, 2]), (1, 0, 0, 40, 7.0)]
+    spark.createDataFrame(rows, VOX).write.parquet(str(tmp_path / "v"))
+    v = spark.read.parquet(str(tmp_path / "v"))
+    for radii, sp in (((1, 1, 1), (1, 1, 1)), ((2, 1, 1), (0.5, 1, 2))):
+        out = St.bilateral(v, radii=radii, sp=sp)
+        assert "Join" not in spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+        got = {(r["k"], r["j"], r["i"]): r["hu"] for r in out.collect()}
+        assert len(got) == out.count() == len(a) + 1
+        for (k, j, i), hu in {r[1:4]: r[4] for r in rows}.items():
+            num = den = 0.0
+            for _, bk, bj, bi, b in rows:
+                dk, dj, di = bk - k, bj - j, bi - i
+                if abs(dk) <= radii[2] and abs(dj) <= radii[1] and abs(di) <= radii[0]:
+                    w = np.exp(-(di * di / sp[0] + dj * dj / sp[1] + dk * dk / sp[2]) / (2 * 1.2**2) - (b - hu) ** 2 / (2 * 50**2))
+                    num, den = num + w * b, den + w
+            assert got[k, j, i] == pytest.approx(0.2 * hu + 0.8 * num / den)
